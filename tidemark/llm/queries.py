@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import round_trip
 from .common import Scratch
 from .embedding_graph import embedding_near_duplicates
 from .exact_dedup import DigestIndex
+from .packing import pack
 from .simhash import simhash_classes
+from .warc import read_archives, write_archives
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +31,21 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op5")
+    folder = scratch.path("archives")
+    return read_archives(write_archives(table(spark, sf_dir, "pages"), folder, scratch), folder)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), Scratch(spark, "op6"))
+    return packed.withColumnRenamed("id", "doc_id").drop("tag")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     index = DigestIndex(spark, path=scratch.path("index"))
@@ -40,6 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_embedding_near_dedup,
+        op4_bpe_round_trip,
+        op5_warc,
+        op6_packing,
         op7_exact_dedup,
         op10_simhash_near_dedup,
     )
@@ -63,6 +90,18 @@ ORACLES: dict[str, str] = {
         deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
         SELECT t.vec_id, coalesce(deg.n, 0) AS n_links, t.component_id, t.vec_id = t.component_id AS kept
         FROM top t LEFT JOIN deg ON deg.a = t.vec_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, b, unhex(sha1(b))::BIT::VARCHAR AS bits,
+                     max(page_id) OVER (PARTITION BY b) AS last FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+                     + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT
+                     + substr(bits, 5 * i + 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+        FROM d""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
