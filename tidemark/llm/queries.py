@@ -14,6 +14,7 @@ from .embedding_graph import embedding_near_duplicates
 from .exact_dedup import DigestIndex
 from .packing import pack
 from .simhash import simhash_classes
+from .substring import near_duplicate_passages
 from .warc import read_archives, write_archives
 
 
@@ -72,6 +73,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_passages(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("other", "other_doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_packing,
         op7_exact_dedup,
         op8_license_scan,
+        op9_substring_dedup,
         op10_simhash_near_dedup,
     )
 }
