@@ -53,7 +53,7 @@ def stirred(h: np.ndarray, k: int) -> np.ndarray:
     """A further 64 bits from a 64-bit hash (k = 0: the hash itself)."""
     if not k:
         return h
-    z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
