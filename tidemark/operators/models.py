@@ -192,7 +192,9 @@ def _grouped(cells: DataFrame, rows: DataFrame, fit_predict, columns: list[str])
         names = [c.split(" ")[0] for c in FORECAST.split(", ")]
         return pd.DataFrame(out, columns=names)
 
-    return cells.groupBy("unique_id").cogroup(rows.select(*columns).groupBy("unique_id")).applyInPandas(run, FORECAST)
+    # Aliases give the columns identities of their own where cells come from rows.
+    rows = rows.select(*[F.col(c).alias(c) for c in columns])
+    return cells.groupBy("unique_id").cogroup(rows.groupBy("unique_id")).applyInPandas(run, FORECAST)
 
 
 def har(rv: DataFrame, cells: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .functions.special import mde
 from .operators import audit, evaluate, inference, models, panel, windows
 from .plans import tables as t
 from .sources import store
+from .streaming import operators as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -765,3 +766,20 @@ def key_collisions(spark, d):
 @query("SELECT unique_id, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS n FROM price GROUP BY 1")
 def panel_fingerprint(spark, d):
     return store.panel_fingerprint(t.price(spark, d)).drop("sha256")
+
+
+# Streams, run to the end of what is there
+
+
+@query("SELECT unique_id, ts, close, n FROM candles")
+def stream_tumbling_rv(spark, d):
+    rows = streams.tumbling_candles(streams.event_stream(spark, d))
+    return streams.run_to_end(rows, streams.folder(spark, "candles"), ["unique_id", "ts"])
+
+
+@query("""SELECT unique_id, n, round(power(0.94, n) * (seed + 0.06 * s), 6) AS sigma2 FROM (
+    SELECT event_type AS unique_id, count(*) AS n, avg(value * value) FILTER (k <= 20) AS seed, sum(value * value * power(0.94, -k)) AS s
+    FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL) GROUP BY 1)""")
+def stream_ewma_state(spark, d):
+    rows = streams.ewma_state(streams.event_stream(spark, d))
+    return streams.run_to_end(rows, streams.folder(spark, "ewma"), ["unique_id"]).select("unique_id", "n", r("sigma2"))
