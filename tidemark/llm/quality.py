@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Rows of each kind that the model is fitted on, at most; the prior's default.
 SAMPLE, PRIOR = 12_000, 0.8
 #: Steps, step size and penalty of the fit; bins of each feature.
-STEPS, RATE, PENALTY, BINS = 500, 0.2, 1e-5, 16
+STEPS, RATE, PENALTY, BINS = 1200, 0.1, 1e-5, 16
 #: Words looked at together.
 CHUNK = 1 << 16
 
@@ -94,7 +94,8 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
     """Full-batch Adam on the non-negative risk with the logistic loss.
 
     Where the negative part of the risk falls below zero its gradient is turned
-    round, as in the published method.
+    round, as in the published method; the last step with that part at zero or
+    above is kept.
     """
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.arange(1, BINS + 1) / (BINS + 1), axis=0).T.astype(np.float32)
@@ -108,10 +109,13 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
         return np.bincount(bins.ravel(), weights=np.repeat(g, bins.shape[1]), minlength=size)
 
     theta, m, v = np.append(model.weights, model.bias), 0.0, 0.0
+    kept = theta
     for step in range(1, STEPS + 1):
         zp, zu = (np.clip(theta[b].sum(1) + theta[-1], -30, 30) for b in (p, u))
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+        if negative >= 0:
+            kept = theta
         gn_p, gn_u = -prior * sp / len(p), su / len(u)
         gp = prior * (sp - 1) / len(p)
         if negative < 0:
@@ -121,7 +125,7 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
         grad[:-1] += PENALTY * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weights, model.bias = theta[:-1], float(theta[-1])
+    model.weights, model.bias = kept[:-1], float(kept[-1])
     return model
 
 
