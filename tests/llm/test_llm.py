@@ -133,7 +133,7 @@ def test_classifier(spark):
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns and kept.where("doc_id < 120").count() >= 115
     assert quality.keep_good(df.limit(0), labels).count() == 0
-    assert {r.s for r in quality.score(df, quality.fit(df, labels.limit(0)), name="s").collect()} == {pytest.approx(quality.PRIOR)}
+    assert all(r.s == pytest.approx(quality.PRIOR) for r in quality.score(df, quality.fit(df, labels.limit(0)), name="s").collect())
 
 
 # 4
@@ -312,7 +312,7 @@ def test_passages(spark):
     assert set(got) == {(1, 0), (3, 2)}
     assert got[1, 0].start == 20 and got[1, 0].stop == 80 and got[3, 2].similarity >= 0.8
     cut = {r.doc_id: r for r in substring.cut_passages(df, scratch(spark)).collect()}
-    assert set(cut) == set(range(8)) and [cut[i].text for i in (0, 2, 4, 5, 6, 7)] == [texts[i] for i in (0, 2, 4, 5, 6, 7)]
+    assert set(cut) == set(range(10)) and [cut[i].text for i in (0, 2, 4, 5, 6, 7)] == [texts[i] for i in (0, 2, 4, 5, 6, 7)]
     assert len(cut[1].text.split()) == 100 and cut[1].n_chars == len(cut[1].text) and cut[1].spans == "p"
     assert substring.cut_passages(df.limit(0), scratch(spark)).count() == 0
 

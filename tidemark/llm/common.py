@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores as long as ``df`` has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Parquet tables of one run of an operator, below the shared folder.
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Rows of each kind that the model is fitted on, at most; the prior's default.
 SAMPLE, PRIOR = 12_000, 0.8
 #: Steps, step size and penalty of the fit; bins of each feature.
@@ -97,7 +99,7 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
     round, as in the published method; the last step with that part at zero or
     above is kept.
     """
-    both = np.concatenate([positive, unlabelled])
+    both = np.concatenate([positive, unlabelled, np.zeros((int(len(positive) + len(unlabelled) == 0), N_FEATURES), np.float32)])
     edges = np.quantile(both, np.arange(1, BINS + 1) / (BINS + 1), axis=0).T.astype(np.float32)
     model = Model(edges, np.zeros(len(edges) * (BINS + 1)), float(np.log(prior / (1 - prior))), prior)
     if not len(positive) or not len(unlabelled):
@@ -179,8 +181,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score ``least`` or more."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "score")
     model = fit(docs, labels, id_col, text_col)
     return score(docs, model, text_col, name).where(F.col(name) >= least).select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, join_per_key
+from .common import Scratch, connected_components, join_per_key, unused
 
 #: Shingles whose bits are unpacked at once.
 PIECE = 1 << 14
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     change is in one place and above 0.99 where single words differ.  Rows are
     named by id; rows without an id are in no group.
     """
-    rows = docs.where(F.col(id_col).isNotNull())
+    rows = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     prints = scratch.keep(fingerprints(rows, id_col, text_col, size, WIDE, distinct=True), "wide")
     code = golay23()
     sent = anchored(prints, WIDE, code, BLOCKS, code.covering_radius + BLOCK_BITS // 2)
@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         .distinct(),
         "pairs",
     )
-    wanted = pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct()
-    some = rows.join(wanted.hint("merge"), F.col(id_col).cast("long") == F.col("wanted"), "left_semi")
+    wanted = pairs.select(F.col("a").alias("wanted_id")).unionByName(pairs.select(F.col("b").alias("wanted_id"))).distinct()
+    some = rows.join(wanted.hint("merge"), F.col(id_col).cast("long") == F.col("wanted_id"), "left_semi")
     sets = scratch.keep(shingle_sets(some, id_col, text_col, size), "sets")
     links = scratch.keep(similar_pairs(pairs, sets, similarity), "links")
     return connected_components(links, scratch)
@@ -283,5 +283,6 @@ def keep_one_of_each_group(docs: DataFrame, scratch: Scratch, id_col: str = "doc
     """The rows of ``docs``, all columns, without those whose near-duplicate
     group has a smaller id.  Rows without an id stay."""
     groups = near_duplicates(docs, scratch, id_col, text_col, size, similarity)
-    dropped = groups.where("node != component").select(F.col("node").alias("dropped"))
-    return docs.join(dropped.hint("merge"), F.col(id_col).cast("long") == F.col("dropped"), "left_anti")
+    name = unused(docs, "dropped")
+    dropped = groups.where("node != component").select(F.col("node").alias(name))
+    return docs.join(dropped.hint("merge"), F.col(id_col).cast("long") == F.col(name), "left_anti")
