@@ -13,6 +13,7 @@ from ..functions.columns import overlap_design_effect
 from ..functions.special import mde
 from ..operators import audit, evaluate, inference, models, panel, windows
 from ..sources import readers, store
+from ..ship import ship
 from .config import Task
 
 
@@ -91,6 +92,7 @@ def predictions(model: str, rows: DataFrame, cells: DataFrame, task: Task, retur
 def run(spark: SparkSession, task: Task, window: str, rows: DataFrame, base: str, names: list[str] | None = None, returns: DataFrame | None = None, dry: bool = False) -> dict:
     """Forecast every pending origin of a task's window into the store; the
     manifest says how many rows each model should have and has."""
+    ship(spark)
     names = models.resolve_models(task.task, names or list(task.models) or None)
     names = [n for n in names if n != "BoostedTrees" and n != "DVOL" and (returns is not None or n not in ("EWMA", "GARCH", "GJR-GARCH"))]
     if task.series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from .functions.columns import Q_COLUMNS, adapter_group, overlap_design_effect,
 from .functions.special import mde
 from .operators import audit, evaluate, inference, models, panel, windows
 from .plans import tables as t
+from .ship import ship
 from .sources import store
 from .streaming import operators as streams
 
@@ -167,10 +169,15 @@ def sql(body: str) -> str:
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def shipped(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = shipped
         if oracle:
             ORACLES[f.__name__] = sql(oracle)
-        return f
+        return shipped
 
     return add
 
