@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: A key counts as heavy when it holds more than this fraction of all rows, so
 #: at most 1 / HEAVY_SHARE keys are heavy and a table of them may be broadcast.
 HEAVY_SHARE = 1 / 1000
@@ -41,6 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
