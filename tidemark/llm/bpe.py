@@ -67,6 +67,9 @@ class ByteBpe:
         self.byte_id = np.zeros(256, np.int64)
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
+        # The symbols of a word's last byte, where words end in a suffix.
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.end_id = np.array([vocab[c + suffix] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
@@ -91,7 +94,9 @@ class ByteBpe:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
         sizes = np.array([len(w) for w in words], np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym, last = self.byte_id[raw], np.cumsum(sizes) - 1
+        sym[last] = self.end_id[raw[last]]
         word = np.repeat(np.arange(len(words)), sizes)
         done_sym, done_word = [], []
         none = len(self.order)

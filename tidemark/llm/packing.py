@@ -15,7 +15,9 @@ document, and groups on nothing but the number of pieces and a seed.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +27,18 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Scratch
 
 #: Pieces of a group on average, words kept between batches, the longest word
 #: kept, and bytes of text split at a time.
 GROUP, CACHE, LONG, PART = 8192, 500_000, 64, 4 << 20
+#: How the tokenizer cuts words; a fixed value.  The same cut for words that are
+#: PLAIN: ASCII and Latin letters, whose normal form is themselves.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[!-~{LETTERS}]+").fullmatch
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
 
 
 class WordTokenizer:
@@ -47,11 +56,35 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        # The numpy rounds know this one way of cutting words.
+        self.merger = bpe.ByteBpe(path) if PATTERN in pattern else None
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        """Ids of words.  Words of Latin letters and ASCII marks only need to be
+        lower-cased and cut, and are merged together by the numpy rounds, with
+        the library's ids; the library itself encodes all others."""
+        out: dict[bytes, bytes] = {}
+        plain, cut, rest = [], [], []
+        for w in words:
+            text = w.decode()
+            if self.merger and PLAIN(text) and "<|" not in text:
+                plain.append(w)
+                cut.append(CUT(text.lower()))
+            else:
+                rest.append(w)
+        parts = list({p for ps in cut for p in ps})
+        ids: dict[str, bytes] = {}
+        for at in range(0, len(parts), bpe.WORDS):
+            some = parts[at : at + bpe.WORDS]
+            ids.update(zip(some, self.merger.merge([p.encode() for p in some])))
+        out.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(plain, cut))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -66,6 +99,8 @@ class WordTokenizer:
         ids = self.learn(list(new))
         known.update((w, i) for w, i in ids.items() if len(w) <= LONG)
         look = {w: i for w, i in ids.items() if len(w) > LONG}
+        if not look:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
         return [b"".join([known[w] if w in known else look[w] for w in words]) for words in split]
 
 
