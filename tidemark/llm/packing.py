@@ -32,7 +32,7 @@ from .common import Scratch
 
 #: Pieces of a group on average, words kept between batches, the longest word
 #: kept, and bytes of text split at a time.
-GROUP, CACHE, LONG, PART = 8192, 500_000, 64, 4 << 20
+GROUP, CACHE, LONG, PART = 8192, 1_000_000, 64, 4 << 20
 #: How the tokenizer cuts words; a fixed value.  The same cut for words that are
 #: PLAIN: ASCII and Latin letters, whose normal form is themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
