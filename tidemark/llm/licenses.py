@@ -6,6 +6,11 @@ Entire texts are joined by the SHA-256 of that form with the digests of known
 licences.  Lines that are, as entire texts, a known notice are listed beside.
 Column expressions only; the known texts are a fixed small table.
 
+Where that finds no licence a wider form is looked up too, which only
+``license_id`` shows: punctuation, symbols and spaces of all of Unicode go, and
+of lines that begin with copyright those with a sign, year or name.  Its
+digests cover the texts above and ``WHOLE``, of which no text is kept here.
+
 Defined cases: a null text counts as empty; a text without words has the digest
 of the empty text and no licence.  Rows with equal texts or ids are rows of
 their own.  Texts that differ from a licence in one word aren't that licence.
@@ -17,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_digests import WHOLE
+
 #: Spellings that count as the same word.
 SPELLINGS = {
     "licence": "license",
@@ -102,6 +109,14 @@ COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
 RESERVED = r"all rights reserved\.?"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The same for the wider form: lines whose copyright isn't a word of a sentence.
+NAMED = (
+    r"(?m)^[ #*/;-]*(copyright\b(?! (notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|treaty|status|rights?"
+    r"|and|or|in|to|is|are|as|on|for|of|that|this|under|with|if|shall|may|will|can|resulting|permission)\b)(?=[ :]*[^ \n:,.;)])"
+    r"|\(c\)(?=[^\n]*((19|20)[0-9]{2}|yyyy|<year>))|\x{A9})[^\n]*$"
+)
+SIGNS = r"[\p{P}\p{S}\p{Z}\p{Cf}\x00-\x09\x0B-\x1F\x7F\x{85}]+"
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with its lines still apart."""
@@ -117,6 +132,17 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(canonical_lines(text), r"[ \n]+", " "))
 
 
+def wider(text: Column) -> Column:
+    """The wider form, null for texts without a word that all licences have."""
+    out = F.concat(F.lit("\n"), F.lower(text.cast("string")), F.lit("\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"\r\n?|[\x{2028}\x{2029}]", "\n"), r"[\p{Zs}\t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, NAMED, ""), RESERVED, "")
+    out = F.regexp_replace(F.regexp_replace(out, SIGNS, " "), r"[ \n]+", " ")
+    for spelling, word in SPELLINGS.items():
+        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {word} "))
+    return F.when(text.rlike("(?i)licen[sc]e|software"), F.trim(out))
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, canonical_sha256, license_id`` of every row and ``notices``, the
     sorted licences of its notice lines, joined by commas (null if none)."""
@@ -126,16 +152,20 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "d
     digests = spark.createDataFrame([(r.form, r.license_id) for r in forms], "form string, license_id string").select(
         F.sha2("form", 256).alias("canonical_sha256"), "license_id"
     )
+    more = spark.createDataFrame(known, "license_id string, known string").where(F.length("known") > 200).select(F.sha2(wider(F.col("known")), 256).alias("wider_sha256"), "license_id")
+    more = more.unionByName(spark.createDataFrame(WHOLE, "license_id string, wider_sha256 string")).groupBy("wider_sha256").agg(F.min("license_id").alias("wider_id"))
     short = {r.form: r.license_id for r in forms if len(r.form.split(" ")) < 20}
     names = F.create_map(*(F.lit(x) for pair in short.items() for x in pair))
     lines = F.transform(F.split("lines", "\n"), lambda x: F.trim(x))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), canonical_lines(F.col(text_col)).alias("lines")).select(
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), canonical_lines(F.col(text_col)).alias("lines"), wider(F.col(text_col)).alias("wide")).select(
         "id",
+        F.sha2("wide", 256).alias("wider_sha256"),
         F.sha2(F.trim(F.regexp_replace("lines", r"[ \n]+", " ")), 256).alias("canonical_sha256"),
         F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x.isin(*short)), lambda x: F.element_at(names, x)))).alias("found"),
     )
     notices = F.when(F.size("found") > 0, F.array_join("found", ","))
-    return rows.join(F.broadcast(digests), "canonical_sha256", "left").select("id", "canonical_sha256", "license_id", notices.alias("notices"))
+    hit = rows.join(F.broadcast(digests), "canonical_sha256", "left").join(F.broadcast(more), "wider_sha256", "left")
+    return hit.select("id", "canonical_sha256", F.coalesce("license_id", "wider_id").alias("license_id"), notices.alias("notices"))
 
 
 def oracle() -> str:
