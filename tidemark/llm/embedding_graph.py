@@ -37,8 +37,13 @@ SAMPLE, CENTROIDS = 40_000, 4096
 APART = 0.8
 #: Out-degree, candidates and slack of the robust pruning; steps of the search.
 DEGREE, NEAREST, RANDOM, ALPHA, STEPS = 24, 48, 24, 1.2, 24
-#: Queries of the audit, at most, and the recall to reach.
-AUDIT, RECALL = 200, 0.9
+#: Queries of the audit at least (or the root of the number of vectors), the
+#: recall to reach, and the queries of a family size whose own recall counts.
+AUDIT, RECALL, ENOUGH = 2000, 0.9, 20
+#: Cells of similarities at a time.
+CELLS = 1 << 21
+#: With more centroids than this a pair too often shares none of two shards.
+FEW = 50
 
 
 def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -260,9 +265,8 @@ def _found(least: float):
     return run
 
 
-def search_shards(reps: DataFrame, overlap: int, least: float, scratch: Scratch, turn: str) -> DataFrame:
+def search_shards(reps: DataFrame, table: dict[tuple[int, int], np.ndarray], overlap: int, least: float, scratch: Scratch, turn: str) -> DataFrame:
     """Counts (``rid, links``) and forest links (``a, b``) of every shard."""
-    table = choose_centroids(reps)
     placed = scratch.keep(place(reps, table, overlap), f"placed{turn}")
     members = reps.join(placed.hint("merge"), "rid").withColumn("shard", F.explode("shards"))
     sizes = members.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
@@ -288,12 +292,15 @@ def search_shards(reps: DataFrame, overlap: int, least: float, scratch: Scratch,
     )
 
 
-def audit(reps: DataFrame, counts: DataFrame, least: float) -> tuple[int, int]:
-    """Links found and links there are, for up to AUDIT queries against all
-    vectors."""
-    asked = reps.orderBy(F.xxhash64("rid"), "rid").limit(AUDIT).select("rid", "label", "dim", "embedding").toArrow()
+def audit(reps: DataFrame, counts: DataFrame, least: float) -> list[tuple[int, float, int]]:
+    """``family, recall, n`` of the audited queries that have links: the mean
+    share of a query's links that were found, by the power of two of their
+    number.  Links found are true and counted once, so they are pairs.
+    """
+    asked = max(AUDIT, int(reps.count() ** 0.5))
+    asked = reps.orderBy(F.xxhash64("rid"), "rid").limit(asked).select("rid", "label", "dim", "embedding").toArrow()
     if not asked.num_rows:
-        return 0, 0
+        return []
     by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     labels, dims = asked["label"].to_pylist(), asked["dim"].to_pylist()
     for key in set(zip(labels, dims)):
@@ -301,26 +308,40 @@ def audit(reps: DataFrame, counts: DataFrame, least: float) -> tuple[int, int]:
         by[key] = np.asarray(some["rid"]), unit(some["embedding"])
 
     def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
             for key in set(zip(labels, dims)) & set(by):
-                part = batch.take(pa.array([i for i, x in enumerate(zip(labels, dims)) if x == key]))
+                rows = [i for i, x in enumerate(zip(labels, dims)) if x == key]
                 rid, q = by[key]
-                hit = (q @ unit(part.column("embedding")).T >= least) & (rid[:, None] != np.asarray(part.column("rid"))[None, :])
-                yield pa.record_batch([pa.array(rid), pa.array((hit * np.asarray(part.column("copies"))[None, :]).sum(1))], ["rid", "there"])
+                step = max(1, CELLS // len(rid))
+                for at in range(0, len(rows), step):
+                    part = batch.take(pa.array(rows[at : at + step]))
+                    hit = (q @ unit(part.column("embedding")).T >= least) & (rid[:, None] != np.asarray(part.column("rid"))[None, :])
+                    sums[key] = sums.get(key, 0) + hit @ np.asarray(part.column("copies"))
+        for key, there in sums.items():
+            yield pa.record_batch([pa.array(by[key][0]), pa.array(there)], ["rid", "there"])
 
     there = reps.select("rid", "label", "dim", "embedding", "copies").mapInArrow(run, "rid long, there long")
-    there = there.groupBy("rid").agg(F.sum("there").alias("there"))
-    row = there.join(counts, "rid", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("there"))), F.sum("there")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    there = there.groupBy("rid").agg(F.sum("there").alias("there")).where(F.col("there") > 0)
+    share = F.least(F.coalesce("links", F.lit(0)), F.col("there")) / F.col("there")
+    rows = there.join(counts, "rid", "left").groupBy(F.floor(F.log2("there")).alias("family")).agg(F.avg(share).alias("recall"), F.count(F.lit(1)).alias("n"))
+    return sorted((int(r.family), float(r.recall), int(r.n)) for r in rows.collect())
+
+
+def enough(recalls: list[tuple[int, float, int]]) -> bool:
+    """Whether the mean query and each family size reach RECALL."""
+    mean = sum(r * n for _, r, n in recalls) >= RECALL * sum(n for _, _, n in recalls) - 1e-9
+    return mean and all(r >= RECALL for _, r, n in recalls if n >= ENOUGH)
 
 
 def embedding_near_duplicates(rows: DataFrame, scratch: Scratch, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``id, n_links, component_id`` of every row.
 
-    Shards overlap twofold; if the audit finds less than RECALL of the links,
-    the search runs again with twice the overlap, up to eightfold, and then
-    raises.
+    Shards overlap twofold, or fourfold if a label has more than FEW
+    centroids; if the audit finds less than RECALL for the mean query or for
+    those of a family size, the search runs again with twice the overlap, up to
+    eightfold, and then raises.
     """
     vector = F.col("embedding")
     rows = rows.select(
@@ -344,14 +365,15 @@ def embedding_near_duplicates(rows: DataFrame, scratch: Scratch, least: float =
         .withColumn("rid", F.monotonically_increasing_id()),
         "reps",
     )
-    for overlap in (2, 4, 8):
-        found = search_shards(reps, overlap, least, scratch, f"-{overlap}")
+    table = choose_centroids(reps)
+    for overlap in (2, 4, 8) if max(map(len, table.values()), default=0) <= FEW else (4, 8):
+        found = search_shards(reps, table, overlap, least, scratch, f"-{overlap}")
         counts = scratch.keep(found.where(F.col("rid").isNotNull()).groupBy("rid").agg(F.sum("links").alias("links")), f"counts-{overlap}")
-        have, there = audit(reps, counts, least)
-        if have >= RECALL * there:
+        recalls = audit(reps, counts, least)
+        if enough(recalls):
             break
     else:
-        raise RuntimeError(f"the search found {have} of {there} links")
+        raise RuntimeError(f"the search's recall by family size: {recalls}")
     parts = connected_components(found.where(F.col("a").isNotNull()).select("a", "b"), scratch)
     known = scratch.keep(
         reps.select("rid", "key", "least", "copies").join(counts, "rid", "left").join(parts.withColumnRenamed("node", "rid"), "rid", "left"), "known"
