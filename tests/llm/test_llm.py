@@ -247,7 +247,13 @@ def test_exact_dedup(spark):
     assert sorted(r.id for r in got if r.kept) == [3, 4, 7, 9]
     later = index.ingest(docs(spark, ["a", "new"], [50, 51]), common.Scratch(spark, "t")).collect()
     assert {r.id: (r.keep_id, r.copies, r.kept) for r in later} == {50: (3, 3, False), 51: (51, 1, True)}
-    assert index.table().count() == 5
+    third = index.ingest(docs(spark, ["a", "a", "b"], [60, 61, 62]), common.Scratch(spark, "t")).collect()
+    assert {r.id: (r.keep_id, r.copies, r.kept) for r in third} == {60: (3, 5, False), 61: (3, 5, False), 62: (4, 3, False)}
+    assert index.table().count() == 5 and sorted(r.copies for r in index.table().collect()) == [1, 2, 2, 3, 5]
+    packed = index.compacted("digest_index_packed", s.path("packed"))
+    assert sorted(map(str, packed.table().collect())) == sorted(map(str, index.table().collect()))
+    for x in (index, packed):
+        x.forget()
     fresh = exact_dedup.DigestIndex(spark, path=s.path("index2"), buckets=4)
     kept = exact_dedup.keep_first_of_equal(docs(spark, texts, ids), fresh, common.Scratch(spark, "t"))
     assert kept.columns == DOCS.replace(" string", "").replace(" long", "").split(", ") and sorted(r.doc_id for r in kept.collect()) == [3, 4, 7, 9]

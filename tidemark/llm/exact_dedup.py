@@ -2,7 +2,7 @@
 
 The index is a table bucketed and sorted by the SHA-256 of the text.  A batch
 is reduced to one row per digest, anti-joined with the index by sort-merge, and
-what is new is appended.  DataFrame operations only.
+appended: what is new with the row that stays, what isn't with its count.  DataFrame operations only.
 
 Defined cases: a null text counts as empty; empty texts are equal to each
 other.  Of equal texts in the batch that first brings them, the row with the
@@ -27,11 +27,15 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent table ``(digest, keep_id, keep_tag, copies)``, bucketed and
-    sorted by ``digest``.
-
-    ``buckets`` defaults to the session's shuffle partitions, so that a join
-    with the index shuffles only the new batch.
+    """A persistent table ``(digest, first, keep_id, keep_tag, copies)``,
+    bucketed and sorted by ``digest``.
+
+    Every batch appends a row for each of its digests: ``first`` where the
+    digest is new, with the row that stays; ``copies`` are those of the batch.
+    ``buckets`` defaults to the session's shuffle partitions; a join with the
+    index and the sums over a digest's rows shuffle only the new batch.
+    Without a name the table is for one use: ``forget`` takes it out of the
+    catalog.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
@@ -40,7 +44,7 @@ class DigestIndex:
         self.path = path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(self.name):
-            self._write(spark.createDataFrame([], "digest binary, keep_id long, keep_tag long, copies long"))
+            self._write(spark.createDataFrame([], "digest binary, first boolean, keep_id long, keep_tag long, copies long"))
 
     def _write(self, rows: DataFrame) -> None:
         writer = (
@@ -52,12 +56,25 @@ class DigestIndex:
         )
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
 
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
-        return self.spark.read.table(self.name)
+        """``digest, keep_id, copies``: a row for each digest."""
+        rows = self.spark.read.table(self.name).groupBy("digest")
+        return rows.agg(F.max(F.struct("first", "keep_id")).getField("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+
+    def compacted(self, name: str, path: str | None = None) -> DigestIndex:
+        """A new index with the rows of this one, a sorted file to each bucket
+        and a row to each digest, after many batches."""
+        new = DigestIndex(self.spark, name, path, self.buckets)
+        new._write(self.table().select("digest", F.lit(True).alias("first"), "keep_id", F.lit(None).cast("long").alias("keep_tag"), "copies"))
+        return new
 
     def ingest(self, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; return one row per row of it: ``id, tag, digest,
-        keep_id, copies, kept``.  ``tag`` tells repeated rows apart."""
+        keep_id, copies, kept``.  ``tag`` tells repeated rows apart; ``copies``
+        counts the rows of all batches so far."""
         rows = scratch.keep(
             docs.select(
                 F.col(id_col).cast("long").alias("id"),
@@ -69,26 +86,11 @@ class DigestIndex:
         groups = scratch.keep(
             rows.groupBy("digest").agg(F.max(F.struct("id", "tag")).alias("top"), F.count(F.lit(1)).alias("n")), "groups"
         )
-        fresh = scratch.keep(
-            groups.join(self.table().hint("merge"), "digest", "left_anti").select(
-                "digest", F.col("top.id").alias("keep_id"), F.col("top.tag").alias("keep_tag"), F.col("n").alias("copies")
-            ),
-            "fresh",
-        )
-        self._write(fresh)
-        known = self.table().select("digest", "keep_id", F.col("copies").alias("indexed"))
-        labels = scratch.keep(
-            groups.join(fresh.select("digest", "keep_tag"), "digest", "left")
-            .join(known.hint("merge"), "digest")
-            .select(
-                "digest",
-                "keep_id",
-                "keep_tag",
-                "n",
-                F.when(F.col("keep_tag").isNull(), F.col("indexed") + F.col("n")).otherwise(F.col("n")).alias("copies"),
-            ),
-            "labels",
-        )
+        old = groups.join(self.table().hint("merge"), "digest").select("digest", "n", F.col("keep_id"), F.lit(None).cast("long").alias("keep_tag"), (F.col("copies") + F.col("n")).alias("copies"))
+        new = groups.join(self.table().hint("merge"), "digest", "left_anti").select("digest", "n", F.col("top.id").alias("keep_id"), F.col("top.tag").alias("keep_tag"), F.col("n").alias("copies"))
+        labels = scratch.keep(old.unionByName(new), "labels")
+        first = F.col("keep_tag").isNotNull()
+        self._write(labels.select("digest", first.alias("first"), F.when(first, F.col("keep_id")).alias("keep_id"), "keep_tag", F.col("n").alias("copies")))
         return join_per_key(rows, labels, "digest", "n").select(
             "id", "tag", "digest", "keep_id", "copies", F.coalesce(F.col("tag") == F.col("keep_tag"), F.lit(False)).alias("kept")
         )
@@ -102,7 +104,7 @@ def keep_first_of_equal(docs: DataFrame, index: DigestIndex, scratch: Scratch, i
     at most ``1 / HEAVY_SHARE`` groups; the others are shuffled once.
     """
     marked = index.ingest(docs, scratch, id_col, text_col)
-    total = marked.count()
+    total = scratch.spark.read.parquet(scratch.path("digests")).count()
     kept = scratch.keep(marked.where("kept").select("digest", F.col("id").alias("keep_id"), "copies"), "kept")
     few = kept.where(F.col("copies") > total * HEAVY_SHARE).select(F.col("digest").alias("heavy"), F.col("keep_id").alias("heavy_id"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("mine"))

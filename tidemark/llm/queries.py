@@ -66,6 +66,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     index = DigestIndex(spark, path=scratch.path("index"))
     marked = index.ingest(table(spark, sf_dir, "documents"), scratch)
+    index.forget()
     return marked.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
