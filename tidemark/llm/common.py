@@ -3,9 +3,16 @@ joins that survive hot keys, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +23,50 @@ from ..ship import ship
 HEAVY_SHARE = 1 / 1000
 
 
+#: Rows of an Arrow batch where the session has Spark's own 10,000: whole texts
+#: of that many rows, with what is made of them, are too much for a worker.
+ARROW_ROWS = 2000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` if the
-    session has it, else (tests on one machine) a fresh temporary folder."""
+    """The folder every executor can reach, ``spark.checkpoint.dir``.  Only a
+    session whose executors are threads of the driver may do without: it gets a
+    fresh temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of up to about ``size`` bytes of text (column ``text``)."""
+    sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column("text")).cast(pa.float64()))))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def tidy(run):
+    """A partition function that gives its worker's free memory back at the
+    end: workers live on, beside those of other stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores as long as ``df`` has such a column."""
     have = {c.lower() for c in df.columns}
@@ -39,13 +80,19 @@ class Scratch:
 
     ``keep`` cuts the lineage: later stages read files that outlive any
     executor.  ``drop`` deletes a table that nothing reads any more; what the
-    returned DataFrame reads stays until ``sweep``.
+    returned DataFrame reads stays until ``sweep``, for whoever stores that
+    result to call.  ``made`` lists all that were not swept yet.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -65,6 +112,7 @@ class Scratch:
 
     def sweep(self) -> None:
         self._delete(self.root)
+        Scratch.made.remove(self)
 
 
 def join_per_key(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:

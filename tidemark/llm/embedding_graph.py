@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, join_per_key
+from .common import Scratch, connected_components, join_per_key, tidy
 
 #: Vectors a shard should have; more than BLOCK are searched block by block.
 SHARD, BLOCK = 1024, 2048
@@ -206,7 +206,7 @@ def place(reps: DataFrame, table: dict[tuple[int, int], np.ndarray], overlap: in
                         lists[i] = x
             yield pa.record_batch([batch.column("rid"), pa.array(lists, pa.list_(pa.int32()))], ["rid", "shards"])
 
-    return reps.select("rid", "label", "dim", "embedding").mapInArrow(run, "rid long, shards array<int>")
+    return reps.select("rid", "label", "dim", "embedding").mapInArrow(tidy(run), "rid long, shards array<int>")
 
 
 KEY = ["label", "dim", "shard"]
@@ -322,7 +322,7 @@ def audit(reps: DataFrame, counts: DataFrame, least: float) -> list[tuple[int, f
         for key, there in sums.items():
             yield pa.record_batch([pa.array(by[key][0]), pa.array(there)], ["rid", "there"])
 
-    there = reps.select("rid", "label", "dim", "embedding", "copies").mapInArrow(run, "rid long, there long")
+    there = reps.select("rid", "label", "dim", "embedding", "copies").mapInArrow(tidy(run), "rid long, there long")
     there = there.groupBy("rid").agg(F.sum("there").alias("there")).where(F.col("there") > 0)
     share = F.least(F.coalesce("links", F.lit(0)), F.col("there")) / F.col("there")
     rows = there.join(counts, "rid", "left").groupBy(F.floor(F.log2("there")).alias("family")).agg(F.avg(share).alias("recall"), F.count(F.lit(1)).alias("n"))

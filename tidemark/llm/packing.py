@@ -23,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Scratch
+from .common import Scratch, slices, tidy
 
 #: Pieces of a group on average, words kept between batches, the longest word
 #: kept, and bytes of text split at a time.
-GROUP, CACHE, LONG, PART = 8192, 1_000_000, 64, 4 << 20
+GROUP, CACHE, LONG, PART = 8192, 600_000, 64, 4 << 20
 #: How the tokenizer cuts words; a fixed value.  The same cut for words that are
 #: PLAIN: ASCII and Latin letters, whose normal form is themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -109,16 +108,6 @@ def loaded(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of up to about ``size`` bytes of text (column ``text``)."""
-    sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column("text")).cast(pa.float64()))))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def cut_documents(docs: DataFrame, path: str, length: int, separator: int, with_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: ``id, tag, start, length, ids_crc32, doc_tokens`` and,
     if asked for, the packed ``ids``.  ``tag`` tells rows apart."""
@@ -143,12 +132,13 @@ def cut_documents(docs: DataFrame, path: str, length: int, separator: int, with_
                 if with_ids:
                     columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
                 yield pa.record_batch(columns, names)
+        tokenizer.known.clear()  # the worker lives on
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).cast("string").alias("text")
     )
     schema = "id long, tag long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:

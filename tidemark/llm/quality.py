@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import tidy, unused
 
 #: Rows of each kind that the model is fitted on, at most; the prior's default.
 SAMPLE, PRIOR = 12_000, 0.8
@@ -147,7 +147,7 @@ def feature_rows(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.record_batch([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], ["x"])
 
-    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "x binary").toArrow()["x"].to_pylist()
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(tidy(run), "x binary").toArrow()["x"].to_pylist()
     return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, N_FEATURES)
 
 
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             x = np.array([features(t.as_py()) for t in batch.column(at)], np.float32).reshape(-1, N_FEATURES)
             yield pa.record_batch([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

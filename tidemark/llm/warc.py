@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_per_key
+from .common import Scratch, join_per_key, tidy
 
 #: Plain bytes of a frame; plain bytes and records of a bundle.
 FRAME, BUNDLE, RECORDS = 256 << 10, 32 << 20, 50_000
@@ -205,7 +205,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
         if writer:
             writer.close()
 
-    return scratch.keep(join_per_key(rows, groups, "digest", "n").select("page_id", "tag", "url", "payload", "top").mapInArrow(run, INDEX), "index")
+    return scratch.keep(join_per_key(rows, groups, "digest", "n").select("page_id", "tag", "url", "payload", "top").mapInArrow(tidy(run), INDEX), "index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
