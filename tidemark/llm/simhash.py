@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, join_per_key, unused
+from .common import Scratch, connected_components, join_per_key, slices, tidy, unused
 
 #: Shingles whose bits are unpacked at once.
 PIECE = 1 << 14
@@ -49,6 +49,71 @@ def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((h(text[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[size - 1 :].tolist())), np.uint64, last)
 
 
+def run_hashes(t: np.ndarray, run: int) -> np.ndarray:
+    """A hash of every ``run`` values in a row: polynomials, doubled in length
+    step by step."""
+    n, by = len(t) - run + 1, 0x9E3779B97F4A7C15
+    if n <= 0:
+        return t[:0]
+    out, done, width, power = None, 0, 1, t
+    while done < run:
+        factor = np.uint64(pow(by, width, 1 << 64))
+        if run & width:
+            m = len(t) - done - width + 1
+            out = power if out is None else out[:m] * factor + power[done : done + m]
+            done += width
+        power = power[:-width] * factor + power[width:]
+        width *= 2
+    return stirred(out, run)
+
+
+#: Bytes of text hashed at once, and the places of a word with factors of their
+#: own; bytes in lower case, and which of them are white space.
+CHUNK, FACTORS = 1 << 20, np.random.default_rng(42).integers(0, 1 << 63, (2, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of some texts, and how many each has."""
+    raw = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    inside = ~SPACE[raw]
+    change = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, size = change[::2], change[1::2] - change[::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    count = np.diff(np.searchsorted(begin, ends), prepend=0)
+    if not len(begin):
+        return np.empty(0, np.uint64), count
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(begin, size)
+    value = FACTORS[0][place & 4095] * (raw[at].astype(np.uint64) + np.uint64(1))
+    if size.max() > 4096:
+        value *= stirred(FACTORS[1][place >> 12 & 4095] + (place >> 24).astype(np.uint64), 1) | np.uint64(1)
+    return stirred(np.add.reduceat(value, np.cumsum(size) - size), 1), count
+
+
+def token_hashes(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text a hash of every run of ``size`` words, made from hashes of
+    the words; of the whole sequence if it is shorter; nothing if there are no
+    words."""
+    raw, out, begin = [(t or "").encode("utf-8", "surrogatepass") for t in texts], [], 0
+    while begin < len(raw):
+        end, total = begin + 1, len(raw[begin])
+        while end < len(raw) and total + len(raw[end]) <= CHUNK:
+            total += len(raw[end])
+            end += 1
+        h, n = word_hashes(raw[begin:end])
+        runs, ends, begin = run_hashes(h, size), np.cumsum(n), end
+        for a, b in zip((ends - n).tolist(), ends.tolist()):
+            if b - a >= size:
+                out.append(runs[a : b - size + 1])
+            else:
+                out.append(run_hashes(h[a:b], b - a) if b > a else h[:0])
+    return out
+
+
 def stirred(h: np.ndarray, k: int) -> np.ndarray:
     """A further 64 bits from a 64-bit hash (k = 0: the hash itself)."""
     if not k:
@@ -68,22 +133,39 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """``id`` and ``words`` 64-bit fingerprints ``f0, f1, ...`` of every row.
-    ``distinct``: repeated shingles count once."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """``id`` and the 64-bit fingerprint ``f0`` of every row, from the XXH64 of
+    its shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((words, batch.num_rows), np.uint64)
+            out = np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column(1)):
-                h = shingle_hashes(words_of(text.as_py()), size)
-                h = np.unique(h) if distinct else h
-                for k in range(words):
-                    out[k, i] = fingerprint(stirred(h, k))
-            yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["id", *(f"f{k}" for k in range(words))])
+                out[i] = fingerprint(shingle_hashes(words_of(text.as_py()), size))
+            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], ["id", "f0"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "id long, f0 long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """``id`` and ``WIDE`` 64-bit words ``f0, f1, ...`` of the SimHash of each
+    row's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, PART):
+                out = np.zeros((WIDE, batch.num_rows), np.uint64)
+                for i, h in enumerate(token_hashes(batch.column(1).to_pylist(), size)):
+                    h = np.unique(h)
+                    for k in range(WIDE):
+                        out[k, i] = fingerprint(stirred(h, k))
+                yield pa.record_batch([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["id", *NAMES])
 
-    schema = "id long, " + ", ".join(f"f{k} long" for k in range(words))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "id long, " + ", ".join(f"{x} long" for x in NAMES))
 
 
 class Code:
@@ -133,44 +215,39 @@ def golay23() -> Code:
     return Code(columns, 3)
 
 
-def anchored(prints: DataFrame, words: int, code: Code, blocks: int, radius: int) -> DataFrame:
-    """A row for each fingerprint, block and anchor within ``radius``.
+def expanded(code: Code, patterns: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For values ``x`` of a block: the row, the anchor and the error of every
+    anchor among the patterns' errors."""
+    errors, start, size = patterns
+    s = code.syndromes(x)
+    many = size[s]
+    row = np.repeat(np.arange(len(x)), many)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    e = errors[np.repeat(start[s], many) + nth]
+    return row, x[row] ^ e, e
 
-    ``prints`` has ``id, f0, ...``.  Added: ``anchor`` (block and code word) and
-    ``home`` (the anchor is within the covering radius).
-    """
-    n, names = code.bits, [f"f{k}" for k in range(words)]
+
+def anchored(prints: DataFrame, code: Code, blocks: int, radius: int) -> DataFrame:
+    """A row for each fingerprint ``f0``, block of its bits and anchor within
+    ``radius``.  Added: ``anchor`` (block and code word) and ``home`` (the
+    anchor is within the covering radius)."""
+    n = code.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        errors, start, size = code.patterns(radius)
+        patterns = code.patterns(radius)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                f = [np.asarray(batch.column(1 + k)).view(np.uint64) for k in range(words)]
+                f = np.asarray(batch.column(0)).view(np.uint64)
                 for block in range(blocks):
-                    low, shift = divmod(block * n, 64)
-                    x = f[low] >> np.uint64(shift)
-                    if shift + n > 64:
-                        x = x | f[low + 1] << np.uint64(64 - shift)
-                    x = x & np.uint64((1 << n) - 1)
-                    s = code.syndromes(x)
-                    many = size[s]
-                    row = np.repeat(np.arange(len(x)), many)
-                    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                    e = errors[np.repeat(start[s], many) + nth]
-                    anchor = (x[row] ^ e) | np.uint64(block << 32)
+                    row, anchor, e = expanded(code, patterns, (f >> np.uint64(block * n)) & np.uint64((1 << n) - 1))
+                    anchor = anchor | np.uint64(block << 32)
                     yield pa.record_batch(
-                        [batch.column(k).take(pa.array(row)) for k in range(1 + words)]
-                        + [pa.array(anchor.view(np.int64)), pa.array(np.bitwise_count(e) <= code.covering_radius)],
-                        ["id", *names, "anchor", "home"],
+                        [batch.column(0).take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(np.bitwise_count(e) <= code.covering_radius)],
+                        ["f0", "anchor", "home"],
                     )
 
-    schema = "id long, " + ", ".join(f"{x} long" for x in names) + ", anchor long, home boolean"
-    return prints.select("id", *names).mapInArrow(run, schema)
-
-
-def distance(a: str, b: str, words: int) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))))
+    return prints.select("f0").mapInArrow(tidy(run), "f0 long, anchor long, home boolean")
 
 
 def hamming_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
@@ -182,8 +259,8 @@ def hamming_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     of the other.
     """
     code = hamming32()
-    sent = anchored(prints.select(F.col("f0").alias("id"), "f0"), 1, code, 2, code.covering_radius + threshold // 2)
-    near = (F.col("x.f0") < F.col("y.f0")) & (distance("x", "y", 1) <= threshold)
+    sent = anchored(prints, code, 2, code.covering_radius + threshold // 2)
+    near = (F.col("x.f0") < F.col("y.f0")) & (F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))) <= threshold)
     return (
         sent.where("home").alias("x")
         .join(sent.alias("y").hint("merge"), (F.col("x.anchor") == F.col("y.anchor")) & near)
@@ -214,15 +291,213 @@ def simhash_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     return join_per_key(rows, labels, "f0", "n").select("id", "f0", "component_id")
 
 
+#: For whole texts: words of a fingerprint, the bits that may differ in all and
+#: from a leader, and the rows of a bucket that each one goes on with.  At similarity 0.8 a bit differs with probability
+#: 0.15: about 29 +- 5 of 192; unrelated texts differ in about 96.
+WIDE, FAR, CLOSE, NEAREST = 3, 46, 29, 3
+NAMES = [f"f{k}" for k in range(WIDE)]
+#: Probabilities that a pair at similarity 0.8 shares an anchor of a block (a
+#: Golay code, radius 3 + 1 on both sides) and agrees in a further bit; the
+#: chance to miss it in all blocks.
+SHARED, AGREED, MISSED = 0.6, 0.85, 0.004
+#: Rows of a block that one more exact bit is used for when there are twice as
+#: many; rows of a bucket compared at once; bytes of text and of sets at a time.
+ROWS, BUCKET, PART = 1 << 17, 2048, 8 << 20
+
+
+def layout(rows: int) -> list[np.ndarray]:
+    """The bits of each block for that many rows: 23 for the code and some that
+    must agree, one more with each doubling beyond ROWS.  So a bucket's rows
+    stay bounded, and blocks are added until a pair is missed by all with
+    probability MISSED at most: comparisons and anchors for each row grow as
+    the input's 0.23rd power."""
+    tail = max(0, int(np.ceil(np.log2(max(1, rows) / ROWS))))
+    blocks = int(np.ceil(np.log(MISSED) / np.log1p(-SHARED * AGREED**tail)))
+    rng, size, out, deck = np.random.default_rng(23), 23 + tail, [], np.empty(0, np.int64)
+    for _ in range(blocks):
+        if len(deck) < size:
+            deck = rng.permutation(64 * WIDE)
+        out.append(deck[:size])
+        deck = deck[size:]
+    return out
+
+
+def far_apart(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of the fingerprints (a row for each word) at i and j."""
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in f)
+
+
+def nearest(own: np.ndarray, other: np.ndarray, d: np.ndarray, many: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``own`` with the ``many`` of ``other`` at the least ``d``."""
+    order = np.lexsort((other, d, own))
+    own, other = own[order], other[order]
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    some = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own)))) < many
+    return own[some], other[some]
+
+
+def leaders(anchor: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by anchor: each row with the nearest earlier leader of its
+    bucket and with the NEAREST rows of any kind, if within FAR bits; and which
+    rows are leaders.
+
+    A row is no leader if an earlier leader of its bucket is within CLOSE bits.
+    So pairs are a few to each row, in families of any size.
+    """
+    n = len(anchor)
+    lead, left, right, bits = np.ones(n, bool), [], [], []
+    i = np.arange(n)
+    for step in range(1, n):
+        i = i[: np.searchsorted(i, n - step)]
+        i = i[anchor[i] == anchor[i + step]]
+        if not len(i):
+            break
+        d = far_apart(f, i, i + step)
+        near = d <= FAR
+        if near.any():
+            left.append(i[near])
+            right.append(i[near] + step)
+            bits.append(d[near])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64), lead
+    i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(bits)
+    close = np.flatnonzero(d <= CLOSE)
+    close = close[np.lexsort((i[close], j[close]))]
+    for a, b in zip(i[close].tolist(), j[close].tolist()):
+        if lead[a]:
+            lead[b] = False
+    led, own, other = lead[i], np.concatenate([i, j]), np.concatenate([j, i])
+    x, y = zip(nearest(j[led], i[led], d[led]), nearest(own, other, np.concatenate([d, d]), NEAREST))
+    return np.concatenate(x), np.concatenate(y), lead
+
+
+#: A row at an anchor; or, with ``other``, a pair.
+_SENT = "anchor long, id long, other long, " + ", ".join(f"{x} long" for x in NAMES)
+
+
+def _sent(anchor, ids, f, a, b) -> pa.RecordBatch:
+    many = len(a)
+    columns = [pa.array(np.concatenate([anchor.view(np.int64), np.zeros(many, np.int64)])), pa.array(np.concatenate([ids, a]))]
+    columns.append(pa.array(np.concatenate([np.zeros(len(ids), np.int64), b]), mask=np.arange(len(ids) + many) < len(ids)))
+    columns += [pa.array(np.concatenate([w.view(np.int64), np.zeros(many, np.int64)])) for w in f]
+    return pa.record_batch(columns, ["anchor", "id", "other", *NAMES])
+
+
+def to_anchors(prints: DataFrame, rows: int) -> DataFrame:
+    """Every fingerprint at every anchor within radius 3 + 1, combined where
+    they are made: where a batch has many rows at an anchor, it sends on their
+    leaders and their pairs with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, blocks = golay23(), layout(rows)
+        patterns = code.patterns(code.covering_radius + 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                batch = whole.slice(at, 8192)
+                ids, f = np.asarray(batch.column(0)), np.stack([np.asarray(batch.column(1 + k)).view(np.uint64) for k in range(WIDE)])
+                for number, bits in enumerate(blocks):
+                    x, more = (sum((f[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(part)) for part in (bits[:23].tolist(), bits[23:].tolist()))
+                    row, anchor, _ = expanded(code, patterns, x)
+                    if len(bits) > 23:
+                        anchor = anchor | (more << np.uint64(23))[row]
+                    anchor = anchor | np.uint64(number << 50)
+                    order = np.lexsort((ids[row], anchor))
+                    row, anchor = row[order], anchor[order]
+                    a = b = np.empty(0, np.int64)
+                    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+                    size = np.diff(np.append(first, len(anchor)))
+                    # Only buckets far above the mean are worth combining here.
+                    big = np.repeat(size > 16 + 4 * size.mean(), size)
+                    if big.any():
+                        stay = np.flatnonzero(~big)
+                        for some in pieces(np.flatnonzero(big), anchor):
+                            i, j, lead = met(some, anchor, f[:, row])
+                            a, b, stay = np.append(a, ids[row[i]]), np.append(b, ids[row[j]]), np.append(stay, lead)
+                        row, anchor = row[stay], anchor[stay]
+                    yield _sent(anchor, ids[row], f[:, row], a, b)
+
+    return prints.select("id", *NAMES).mapInArrow(tidy(run), _SENT)
+
+
+def pieces(at: np.ndarray, anchor: np.ndarray) -> Iterator[np.ndarray]:
+    """``at``, rows sorted by anchor, in pieces of whole buckets: of about
+    BUCKET rows in all, or one bucket."""
+    first = np.flatnonzero(np.append(True, anchor[at][1:] != anchor[at][:-1])) if len(at) else at
+    begin = 0
+    while begin < len(at):
+        next_ = first[min(len(first) - 1, np.searchsorted(first, begin + BUCKET, side="right") - 1)]
+        if next_ <= begin:  # a bucket of more rows; or the last one
+            k = np.searchsorted(first, begin, side="right")
+            next_ = first[k] if k < len(first) else len(at)
+        elif len(at) - begin <= BUCKET:
+            next_ = len(at)
+        yield at[begin:next_]
+        begin = next_
+
+
+def met(at: np.ndarray, anchor: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``leaders`` of a piece, by rows: of a bucket above BUCKET rows each part
+    meets the leaders so far only."""
+    lead, left, right = at[:0], [], []
+    for begin in range(0, len(at), BUCKET):
+        both = np.concatenate([lead, at[begin : begin + BUCKET]])
+        i, j, first = leaders(anchor[both], f[:, both])
+        left.append(both[i])
+        right.append(both[j])
+        lead = both[first]
+    return np.concatenate([at[:0], *left]), np.concatenate([at[:0], *right]), lead
+
+
+def at_anchors(sent: DataFrame) -> DataFrame:
+    """Candidate pairs ``a, b``, each once.
+
+    Rows meet at their anchor in sorted streams, and each is compared with the
+    bucket's leaders.  Of a bucket above BUCKET rows only the leaders so far
+    are held.
+    """
+
+    def pairs(ids, i, j) -> pa.RecordBatch:
+        a, b = ids[i], ids[j]
+        key = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        key = key[key[:, 0] != key[:, 1]]
+        return pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, t) for t in (np.int64, np.int64, *[np.uint64] * WIDE)]
+        for batch in batches:
+            done = ~np.asarray(batch.column("other").is_null())
+            own = batch.filter(pa.array(done))
+            yield pairs(np.concatenate([np.asarray(own.column("id")), np.asarray(own.column("other"))]), np.arange(own.num_rows), own.num_rows + np.arange(own.num_rows))
+            new = batch.filter(pa.array(~done))
+            rows = [np.concatenate([x, np.asarray(new.column(k)).view(x.dtype)]) for x, k in zip(held, ("anchor", "id", *NAMES))]
+            anchor, ids, f = rows[0], rows[1], np.stack(rows[2:])
+            ended = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
+            for some in pieces(np.arange(ended), anchor):
+                i, j, _ = met(some, anchor, f)
+                yield pairs(ids, i, j)
+            rest = np.arange(ended, len(anchor))
+            if len(rest) > BUCKET:
+                i, j, rest = met(rest, anchor, f)
+                yield pairs(ids, i, j)
+            held = [x[rest] for x in rows]
+        i, j, _ = met(np.arange(len(held[0])), held[0], np.stack(held[2:]))
+        yield pairs(held[1], i, j)
+
+    spread = F.when(F.col("other").isNull(), F.col("anchor")).otherwise(F.xxhash64("id", "other"))
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, spread).sortWithinPartitions("anchor", "id").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``id`` and the sorted distinct shingle hashes of each row, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), size)).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+        for whole in batches:
+            for batch in slices(whole, PART):
+                sets = [np.unique(h).tobytes() for h in token_hashes(batch.column(1).to_pylist(), size)]
+                yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shingles binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -230,22 +505,20 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, np.empty(0, np.uint64)
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            other, one, two = np.asarray(batch.column("b")), batch.column("x"), batch.column("y")
+            for k in range(batch.num_rows):
+                if last != other[k]:  # pairs of one text follow each other
+                    last, y = other[k], np.frombuffer(two[k].as_buffer(), np.uint64).copy()
+                x = np.frombuffer(one[k].as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-#: For whole texts: 192 bits in eight blocks of 23, and the bits that may
-#: differ in all.  At similarity 0.8 a bit differs with probability 0.15: about
-#: 29 of 192; unrelated texts differ in about 96.
-WIDE, BLOCKS, BLOCK_BITS, TOTAL_BITS = 3, 8, 2, 52
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -253,25 +526,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     linked by a Jaccard similarity of distinct ``size``-word shingles of
     ``similarity`` or more, verified on the whole texts.
 
-    Candidates share an anchor of the Golay code on one of ``BLOCKS`` blocks of
-    a 192-bit SimHash, within radius 3 + 1 on either side: so they differ in up
-    to two bits of a block (the value half-way is within 1 of both).  A pair at
-    similarity 0.8 has that in some block with probability 0.95 where the
-    change is in one place and above 0.99 where single words differ.  Rows are
-    named by id; rows without an id are in no group.
+    Candidates share an anchor of the Golay code on one of ``layout``'s blocks
+    of a 192-bit SimHash, within radius 3 + 1 on either side: a pair at
+    similarity 0.8 does with probability ``1 - MISSED``.  All rows of an anchor
+    are compared; each goes on with the nearest leader and the nearest rows
+    there, and with others at other anchors, so groups of any size cost a few
+    pairs to each row and hold together by them.  Rows are named by
+    id: rows with the same id are one, similar if one of their texts is; rows
+    without an id are in no group.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
-    prints = scratch.keep(fingerprints(rows, id_col, text_col, size, WIDE, distinct=True), "wide")
-    code = golay23()
-    sent = anchored(prints, WIDE, code, BLOCKS, code.covering_radius + BLOCK_BITS // 2)
-    near = (F.col("x.id") < F.col("y.id")) & (distance("x", "y", WIDE) <= TOTAL_BITS)
-    pairs = scratch.keep(
-        sent.alias("x")
-        .join(sent.alias("y").hint("merge"), (F.col("x.anchor") == F.col("y.anchor")) & near)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct(),
-        "pairs",
-    )
+    prints = scratch.keep(wide_fingerprints(rows, id_col, text_col, size), "wide")
+    pairs = scratch.keep(at_anchors(to_anchors(prints, prints.count())), "pairs")
     wanted = pairs.select(F.col("a").alias("wanted_id")).unionByName(pairs.select(F.col("b").alias("wanted_id"))).distinct()
     some = rows.join(wanted.hint("merge"), F.col(id_col).cast("long") == F.col("wanted_id"), "left_semi")
     sets = scratch.keep(shingle_sets(some, id_col, text_col, size), "sets")
