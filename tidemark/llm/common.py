@@ -90,7 +90,7 @@ class Scratch:
         ship(spark)
         if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        self.spark = spark
+        self.spark, self.names = spark, []
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.made.append(self)
 
@@ -101,6 +101,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def keep_by(self, df: DataFrame, table: str, key: str) -> DataFrame:
+        """``keep``, bucketed and sorted by ``key``: joins by it shuffle and
+        sort the other side only.  The catalog has the table until ``forget``."""
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", self.path(table)).format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.read.table(name)
+
+    def forget(self) -> None:
+        while self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -111,6 +123,7 @@ class Scratch:
             self._delete(self.path(table))
 
     def sweep(self) -> None:
+        self.forget()
         self._delete(self.root)
         Scratch.made.remove(self)
 
