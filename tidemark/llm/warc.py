@@ -44,7 +44,14 @@ FRAME, BUNDLE, RECORDS = 256 << 10, 32 << 20, 50_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
+#: Hadoop's names of object stores, and those that Arrow has for the same.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
 def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}:{rest}"
     if re.match(r"[a-z][a-z0-9+.-]*:", uri):
         return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
     return pyarrow.fs.LocalFileSystem(), uri
@@ -188,8 +195,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
         writer: BundleWriter | None = None
         for batch in batches:
             places = []
-            for row in range(batch.num_rows):
-                x = {c: batch.column(c)[row].as_py() for c in ("page_id", "tag", "url", "payload", "top")}
+            for x in batch.to_pylist():
                 body = x["payload"].encode()
                 original = (x["top"]["page_id"], x["top"]["tag"])
                 if original[1] == x["tag"] or len(body) < min_bytes:
@@ -208,8 +214,9 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: i
     return scratch.keep(join_per_key(rows, groups, "digest", "n").select("page_id", "tag", "url", "payload", "top").mapInArrow(tidy(run), INDEX), "index")
 
 
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Read every record of the index back, frame by frame, and check it."""
+def read_archives(index: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
+    """Read every record of the index back, frame by frame, and check it; in
+    ``tasks`` tasks, by default the session's shuffle partitions."""
 
     def run(table: pa.Table) -> pa.Table:
         reader = BundleReader(folder, table["bundle"][0].as_py())
@@ -221,4 +228,6 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
         return pa.table({c: pa.array([f[c] for f in found], k) for c, k in kinds.items()})
 
+    # As many tasks as bundles or cores allow: an index is small, what it names isn't.
+    index = index.repartition(tasks or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle")
     return index.groupBy("bundle").applyInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
