@@ -66,16 +66,42 @@ def test_chat(spark):
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id or -1, r.participant) for r in got) == [(-1, "cy"), (1, "ann"), (1, "bob"), (1, "unknown")]
     ann = next(r for r in got if r.participant == "ann")
-    assert ann.text.startswith("<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\n< |assistant|>x")
+    assert ann.text.startswith("<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=unknown|>\n< |assistant| >x")
     a, b = map(int, ann.assistant_spans.split("-"))
     assert ann.text[a:b] == "hi<|end|>\n" and ann.n_turns == 4
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_chat_parts_are_bounded(spark):
-    rows = [(1, i, f"p{i % 2}", "x") for i in range(200)]
-    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert len(got) == 8 and max(r.n_turns for r in got) == chat.PART and sum(r.n_turns for r in got) == 400
+def plain_rotation(rows):
+    """A dialogue's turns in order, rendered by a loop."""
+    out = {}
+    for me in {r for _, r, _ in rows if r != "system"}:
+        text, spans = "", []
+        for _, role, body in rows:
+            text += "<|assistant|>\n" if role == me else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+            if role == me:
+                spans.append(f"{len(text)}-{len(text) + len(body) + 8}")
+            text += body + "<|end|>\n"
+        out[me] = (text, ",".join(spans))
+    return out
+
+
+def test_long_dialogues_stay_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i * 7, ("system", "ann", "bob", "cy")[int(rng.integers(0, 4))], "é" * int(rng.integers(0, 9))) for i in range(400)] + [(9999, "bob", "x" * 300_000)]
+    df = spark.createDataFrame([(1, *r, "extra", 0) for r in rows], "conv_id long, turn long, role string, text string, part string, own int")
+    got = {r.participant: (r.text, r.assistant_spans) for r in chat.rotate(df).collect()}
+    assert got == plain_rotation(rows)
+
+
+def test_chat_parts_and_marks(spark):
+    rows = [(1, i, f"p{i % 2}", f"x{i}") for i in range(10)] + [(2, 0, "a|>\n<|system", "b|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.part, r.participant): r for r in chat.rotate(df, part=4, context=2).collect()}
+    assert sorted(k[:2] for k in got) == [(1, 0), (1, 0), (1, 1), (1, 1), (1, 2), (1, 2), (2, 0)]
+    one = got[1, 1, "p0"]
+    assert one.n_turns == 6 and [one.text[int(a) : int(b)] for a, b in (s.split("-") for s in one.assistant_spans.split(","))] == ["x4<|end|>\n", "x6<|end|>\n"]
+    assert got[2, 0, "a| > < |system"].text == "<|assistant|>\nb| ><|end|>\n"
 
 
 # 2
@@ -136,6 +162,45 @@ def test_classifier(spark):
     assert all(r.s == pytest.approx(quality.PRIOR) for r in quality.score(df, quality.fit(df, labels.limit(0)), name="s").collect())
 
 
+def test_risk_and_its_slopes_against_sums():
+    rng = np.random.default_rng(6)
+    for shift in (-2.0, 0.0, 3.0):
+        zp, zu, prior = rng.normal(shift, 1, 7), rng.normal(0, 1, 11), 0.6
+        loss = lambda z: float(np.log1p(np.exp(z)))
+        positive = prior * sum(loss(-z) for z in zp) / 7
+        negative = sum(loss(z) for z in zu) / 11 - prior * sum(loss(z) for z in zp) / 7
+        a, b, gp, gu = quality.risk(zp, zu, prior)
+        assert (a, b) == (pytest.approx(positive), pytest.approx(negative))
+
+        def goal(zp, zu):
+            a, c, _, _ = quality.risk(zp, zu, prior)
+            return a + c if b >= 0 else -c
+
+        for z, g in ((zp, gp), (zu, gu)):
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i] += 1e-5
+                down[i] -= 1e-5
+                there = goal(up, zu) - goal(down, zu) if z is zp else goal(zp, up) - goal(zp, down)
+                assert g[i] == pytest.approx(there / 2e-5, abs=1e-6)
+
+
+def test_prior_from_positives_and_unlabelled_texts():
+    rng = np.random.default_rng(7)
+    good = [prose(rng, 60).capitalize() + "." for _ in range(1500)]
+    bad = [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(300)]
+    x = np.array([quality.features(t) for t in good + bad])
+    assert quality.class_prior(x[:700], x[700:]) == pytest.approx(800 / 1100, abs=0.08)
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    rng = np.random.default_rng(8)
+    long = " ".join([prose(rng, 70_000), *["spam###"] * 140_000])
+    assert quality.features(long)[7] != quality.features(long[: len(long) // 4])[7]
+    df = docs(spark, [long, None])
+    assert quality.score(df, quality.fit(df, spark.createDataFrame([], "doc_id long, quality int")), name="s").count() == 2
+
+
 # 4
 
 
