@@ -9,7 +9,7 @@ The fit uses a bounded sample, drawn by hash: up to ``SAMPLE`` trusted
 positives and about as many unlabelled documents.  The prior is estimated from
 these: a first model is fitted on half of either, and among the scores of the
 other halves the threshold is sought above which the share of unlabelled texts
-by that of positives is least, by an upper confidence bound; nearly all texts
+by that of positives is least, with some slack for few texts; nearly all texts
 above it are positives, so that ratio is the prior.  Every whole text is scored.
 
 Defined cases: a null text counts as empty and has a score like any other.  A
@@ -34,8 +34,8 @@ from .common import tidy, unused
 from .simhash import word_hashes
 
 #: Rows of each kind that the model is fitted on, at most; the prior where there
-#: are too few to estimate it; how sure its bound is.
-SAMPLE, PRIOR, ENOUGH, SURE = 12_000, 0.8, 20, 0.1
+#: are too few to estimate it; standard errors that its bound allows for.
+SAMPLE, PRIOR, ENOUGH, SLACK = 12_000, 0.8, 20, 0.35
 #: Steps, step size and penalty of the fit; bins of each feature.
 STEPS, RATE, PENALTY, BINS = 1200, 0.1, 1e-5, 16
 #: Buckets of hashed words, as a power of two; penalty of their weights.
@@ -153,17 +153,17 @@ def fit_features(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ste
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled, from these two alone.
 
-    Of held-back halves, scored by a model of the others, the threshold with
-    the least upper bound on unlabelled share by positive share.
+    Of the scores that either half gets from a model of the other, the
+    threshold with the least upper bound on unlabelled share by positive share.
     """
     if min(len(positive), len(unlabelled)) < ENOUGH:
         return PRIOR
-    model = fit_features(positive[::2], unlabelled[::2], 0.5, STEPS // 4)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    models = [fit_features(positive[k::2], unlabelled[k::2], 0.5, STEPS // 4) for k in (1, 0)]
+    p, u = (np.sort(np.concatenate([m.score(x[k::2]) for k, m in enumerate(models)])) for x in (positive, unlabelled))
     at = np.unique(np.concatenate([p, u]))
     qp, qu = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
     at = qp > 0
-    slack = np.sqrt(np.log(4 / SURE) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    slack = SLACK * (len(u) ** -0.5 + len(p) ** -0.5)
     best = int(np.argmin((qu[at] + slack) / qp[at]))
     return float(min(0.98, max(0.02, qu[at][best] / qp[at][best])))
 
