@@ -1,13 +1,14 @@
 """Hand-computed values, parsers on byte fixtures and leakage tests."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import special
+from tidemark.functions import columns, special
 from tidemark.functions.columns import garman_klass, overlap_design_effect, pinball, qlike
 from tidemark.operators import audit, evaluate, inference, models, panel, windows
 from tidemark.plans import commands
@@ -254,6 +255,150 @@ def test_store_run_resume_and_report(spark, tmp_path):
     assert store.key_collisions(twice).count() == 1
 
 
+def walk(spark, seed, n, uid, start=100.0, scale=1.0):
+    rng = np.random.default_rng(seed)
+    return series(spark, start + scale * np.cumsum(rng.normal(size=n)), uid)
+
+
+def test_sums_are_regressed_in_blocks_before_the_origin(spark):
+    rng = np.random.default_rng(5)
+    v = np.exp(rng.normal(size=140))
+    rv = series(spark, v, "A")
+    days = [r.ds for r in rv.orderBy("ds").collect()]
+    h, k, n = 3, 131, 100
+    cells = spark.createDataFrame([("A", days[k - 1], h, days[k - 1 + h])], "unique_id string, origin date, h int, ds_target date")
+    for goal in ("sum", "direct"):
+        got = one(models.har(rv, cells, n=n, targets=goal))
+        w = v[k - n : k]
+        feature = lambda i: np.log([w[i], w[i - 4 : i + 1].mean(), w[i - 21 : i + 1].mean()])
+        if goal == "sum":
+            at = [(i - 1, w[i : i + h].sum()) for i in range(n % h, n, h) if i - 1 >= 21]
+        else:
+            at = [(i - h, w[i]) for i in range(h, n) if i - h >= 21]
+        x, y = np.array([[1, *feature(i)] for i, _ in at]), np.log([t for _, t in at])
+        beta = np.linalg.lstsq(x, y, rcond=None)[0]
+        e, mu = y - x @ beta, float(np.array([1, *feature(n - 1)]) @ beta)
+        assert got.median == pytest.approx(math.exp(mu)) and got.yhat == pytest.approx(math.exp(mu + np.mean(e**2) / 2))
+        assert got.q90 == pytest.approx(math.exp(mu + np.quantile(e, 0.9)))
+
+
+def test_dvol_skips_an_index_of_zero_and_says_where_none_is(spark):
+    rng = np.random.default_rng(6)
+    v, x = np.exp(rng.normal(size=60)), np.exp(rng.normal(size=60)) * 50
+    x[10] = 0.0
+    rv = series(spark, v, "A").unionByName(series(spark, v, "B"))
+    days = [r.ds for r in rv.where("unique_id = 'A'").orderBy("ds").collect()]
+    index = spark.createDataFrame([("A", d, float(i) if k % 7 else None) for k, (d, i) in enumerate(zip(days, x))], "unique_id string, ds date, x double")
+    cells = spark.createDataFrame([(u, days[50], 1, days[51]) for u in "AB"], "unique_id string, origin date, h int, ds_target date")
+    got = {r.unique_id: r for r in models.dvol(rv, index, cells).collect()}
+    assert got["B"].fail_reason == "missing_dvol_history"
+    state, last = [], None
+    for k, i in enumerate(x):
+        last = i if k % 7 else last
+        state.append(None if not last else 2 * math.log(last / 100) - math.log(365))
+    at = [(state[k - 1], math.log(v[k])) for k in range(1, 51) if state[k - 1] is not None]
+    b, a = np.polyfit(*zip(*at), 1)
+    assert got["A"].median == pytest.approx(math.exp(a + b * state[50]))
+
+
+def test_garch_targets_and_ratios(spark):
+    rng = np.random.default_rng(7)
+    r = 0.01 * rng.normal(size=300)
+    rv = series(spark, r * r * rng.uniform(0.5, 2, 300) + 1e-9, "RV_BTC")
+    returns = series(spark, r, "RV_BTC").withColumnRenamed("y", "ret")
+    days = [x.ds for x in rv.orderBy("ds").collect()]
+    cells = spark.createDataFrame([("RV_BTC", days[290], h, days[290 + h]) for h in (1, 3)], "unique_id string, origin date, h int, ds_target date")
+    one_, three = sorted(models.garch(returns, cells, rv=rv, targets={3: "sum"}).collect(), key=lambda x: x.h)
+    direct = next(x for x in models.garch(returns, cells, rv=rv).collect() if x.h == 3)
+    known = (100 * r[:291]) ** 2
+    w, a, _, b = p = models.garch_fit(100 * r[:291], False)
+    s = [float(np.mean(known))]
+    for x in known:
+        s.append(w + a * x + b * s[-1])
+    ahead = [s[-1]]
+    for _ in range(2):
+        ahead.append(w + (a + b) * ahead[-1])
+    assert np.allclose(models.garch_filter(known, 0 * known, p), s)
+    assert one_.yhat == pytest.approx(ahead[0] / 1e4) and direct.yhat == pytest.approx(ahead[2] / 1e4) and three.yhat == pytest.approx(sum(ahead) / 1e4)
+    real = np.array([x.y for x in rv.orderBy("ds").collect()])[:291]
+    ratios = real / (np.array(s[:-1]) / 1e4)
+    assert one_.q10 == pytest.approx(ahead[0] / 1e4 * np.quantile(ratios, 0.1))
+    blocks = [real[i : i + 3].sum() / (3 * s[i - 1] / 1e4) for i in range(291 % 3, 291, 3) if i]
+    assert three.q90 == pytest.approx(three.yhat * np.quantile(blocks, 0.9))
+
+
+def test_run_and_report_of_variances(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    uids = ["RV_BTC", "RV_ETH", "RV_N225_GK"]
+    r = {u: 0.01 * rng.normal(size=220) for u in uids}
+    rv = None
+    for u in uids:
+        part = series(spark, r[u] ** 2 * rng.uniform(0.5, 2, 220) + 1e-8, u)
+        rv = part if rv is None else rv.unionByName(part)
+    asset = {"RV_BTC": "BTC-USD", "RV_ETH": "ETH-USD", "RV_N225_GK": "N225"}
+    returns = None
+    for u in uids:
+        part = series(spark, r[u], asset[u]).withColumnRenamed("y", "ret")
+        returns = part if returns is None else returns.unionByName(part)
+    index = rv.where("unique_id = 'RV_BTC'").select(F.lit("DVOL_BTC").alias("unique_id"), "ds", (100 * F.sqrt(365 * F.col("y"))).alias("x"))
+    days = [str(x.ds) for x in rv.where("unique_id = 'RV_BTC'").orderBy("ds").collect()]
+    task = load_task({"task": "rv", "series": uids, "horizons": [{"h": 1, "step": 4}, {"h": 3, "step": 8, "target": "sum"}], "windows": {"main": [days[180], days[210]]}, "primary_benchmark": "EWMA", "estimation_windows": {"rv_crypto": 150}})
+    base = str(tmp_path / "store")
+    with pytest.raises(ValueError, match="DVOL needs an index"):
+        commands.run(spark, task, "main", rv, base, returns=returns)
+    names = ["NaivePrev", "EWMA", "GARCH", "GJR-GARCH", "HAR-RV", "DVOL"]
+    done = commands.run(spark, task, "main", rv, base, names, returns, index)
+    assert all(x["match"] for x in done["models"].values())
+    n = done["models"]["EWMA"]["expected"]
+    assert done["models"]["GJR-GARCH"]["expected"] * 3 == n and done["models"]["DVOL"]["expected"] * 3 == 2 * n
+    assert commands.resolve_run(base, "rv", "main") == done["run_id"] == commands.resolve_run(f"file://{base}", "rv", "main")
+    with pytest.raises(ValueError, match="other rows"):
+        commands.write_manifest(base, done["run_id"], {"EWMA": 1})
+    assert json.loads((tmp_path / f"store/_runs/config_{done['run_id']}.json").read_text())["models"]["DVOL"]["refit_every"] == 5
+    facts = store.ForecastStore(spark, base).read()
+    reasons = {(x.unique_id, x.fail_reason) for x in facts.where("model = 'DVOL'").collect()}
+    assert reasons == {("RV_BTC", None), ("RV_ETH", "missing_dvol_history")}
+    tables = commands.report(facts, rv, task, f"file://{tmp_path}/out", commands.expected_rows(base, done["run_id"]))
+    assert {x["model"] for x in tables["leaderboard"]} == set(names) and all(x["match"] for x in tables["manifest"])
+    assert tables["kupiec"] and tables["calibration_curve"] and tables["tost"] and tables["groups"] and tables["directions"]
+    assert {x["h"] for x in tables["mcs"]} <= {1, 3} and (tmp_path / "out/summary.md").exists()
+
+
+def test_small_expressions(spark):
+    row = one(spark.createDataFrame([([3.0, None, 1.0, 2.0],)], "xs array<double>").select(columns.kth("xs", 2).alias("a"), columns.kth("xs", 9).alias("b")))
+    assert (row.a, row.b) == (2.0, None)
+    assert columns.value_column(["ds", "rv"]) == "rv" and columns.quantile_column(["q10", "0.9"], 0.9) == "0.9" and columns.quantile_column(["median"], 0.5) == "median"
+    with pytest.raises(ValueError):
+        columns.value_column(["ds"])
+    got = {r.u: r.i for r in spark.createDataFrame([("RV_BTC",), ("RV_N225_GK",), ("N225",)], "u string").select("u", columns.return_id("u").alias("i")).collect()}
+    assert got == {"RV_BTC": "BTC-USD", "RV_N225_GK": "N225", "N225": "N225"}
+    p = series(spark, range(1, 11), "EURUSD").unionByName(series(spark, range(1, 11), "VOL_BTC"))
+    kept = panel.estimation_windows(p, {"fx": 4}).groupBy("unique_id").count().collect()
+    assert {r.unique_id: r["count"] for r in kept} == {"EURUSD": 4, "VOL_BTC": 10}
+    assert panel.estimation_windows(p, {"fx": 4}, expanding=True).count() == 20
+    assert models.reference_models(["RW", "Trend"]) == ["Trend"]
+
+
+def test_coverage_notes(spark):
+    board = spark.createDataFrame([("price", 1, "A", 3), ("price", 1, "B", 5), ("price", 5, "A", 5), ("price", 5, "B", 5)], "task string, h int, model string, n_series long")
+    why = spark.createDataFrame([("price", 1, "A", {"invalid_context": 7}), ("price", 5, "A", {"invalid_context": 2})], "task string, h int, model string, reasons map<string,long>")
+    r = one(evaluate.coverage_notes(board, why, "A"))
+    assert (r.h, r.n_series, r.most_series, r.n_failures) == (1, 3, 5, 7)
+
+
+def test_long_groups_get_more_lags(spark):
+    rng = np.random.default_rng(9)
+    d = rng.normal(size=3000)
+    rows = spark.createDataFrame([("g", k, float(x), 0.0) for k, x in enumerate(d)], "k string, origin int, loss double, bench_loss double")
+    got = one(inference.dm_statistic(rows, ["k"], 1))
+    c = d - d.mean()
+    lag = math.ceil(4 * 30 ** (2 / 9)) - 1
+    v = (c @ c + 2 * sum((1 - j / (lag + 1)) * (c[j:] @ c[:-j]) for j in range(1, lag + 1))) / 3000
+    assert got.lag == lag and got.statistic == pytest.approx(math.sqrt(2999 / 3000) * d.mean() / math.sqrt(v / 3000))
+    with pytest.raises(Exception, match="more lags"):
+        inference.dm_statistic(rows, ["k"], 1, max_lag=2).collect()
+
+
 def test_build(spark, tmp_path):
     raw = tmp_path / "raw"
     for folder in ("daily", "intraday"):

@@ -22,8 +22,12 @@ def parser() -> argparse.ArgumentParser:
     }.items():
         c = sub.add_parser(name)
         for w in wants:
-            c.add_argument(f"--{w}", required=w != "out" or name == "build")
+            c.add_argument(f"--{w}", required=w != "run-id" and (w != "out" or name == "build"))
+        if name == "report":
+            c.add_argument("--window", default="main")
         if name == "run":
+            c.add_argument("--raw", help="folder with the daily candles that returns come from")
+            c.add_argument("--index", help="table of volatility indices: unique_id, ds, x")
             c.add_argument("--models", nargs="*")
             c.add_argument("--dry-run", action="store_true")
     return p
@@ -57,10 +61,13 @@ def main(argv: list[str] | None = None) -> int:
     rows = spark.read.parquet(f"{args.panels}/{'rv' if rv else 'series'}")
     rows = rows.select("unique_id", "ds", F.col("rv" if rv else "y").alias("y"))
     if args.command == "run":
-        print(json.dumps(commands.run(spark, task, args.window, rows, args.store, args.models, dry=args.dry_run)))
+        returns = commands.daily_returns(spark, args.raw) if args.raw else None
+        index = spark.read.parquet(args.index) if args.index else None
+        print(json.dumps(commands.run(spark, task, args.window, rows, args.store, args.models, returns, index, args.dry_run)))
         return 0
-    facts = ForecastStore(spark, args.store).read().where(F.col("run_id") == args.run_id)
-    commands.report(facts, rows, task, args.out)
+    run_id = commands.resolve_run(args.store, task.task, args.window, args.run_id)
+    facts = ForecastStore(spark, args.store).read().where(F.col("run_id") == run_id)
+    commands.report(facts, rows, task, args.out, commands.expected_rows(args.store, run_id))
     return 0
 
 

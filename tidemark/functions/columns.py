@@ -97,6 +97,44 @@ def is_special(uid: Column | str) -> Column:
     return uid.isin("EURCNY", "EURKRW", "EURMXN") | uid.contains("XRP")
 
 
+def return_id(uid: Column | str) -> Column:
+    """The series of returns that belongs to one of realised variances; other
+    identifiers are their own."""
+    uid = _c(uid)
+    asset = F.concat(F.regexp_replace(uid, "^RV_", ""), F.lit("-USD"))
+    return F.when(uid == "RV_N225_GK", "N225").when(uid.startswith("RV_"), asset).otherwise(uid)
+
+
+def kth(xs: Column | str, k: Column | int) -> Column:
+    """The ``k``-th smallest of an array's values, from 1; null beyond them."""
+    some = F.array_sort(F.filter(_c(xs), lambda x: x.isNotNull()))
+    return F.try_element_at(some, F.lit(k) if isinstance(k, int) else k)
+
+
+def levels_to_deciles(name: str) -> Column:
+    """Nine deciles out of a point forecast and the ends of its central
+    intervals, columns like ``name-lo-80``."""
+    low = [F.col(f"`{name}-lo-{x}`") for x in (80, 60, 40, 20)]
+    high = [F.col(f"`{name}-hi-{x}`") for x in (20, 40, 60, 80)]
+    return F.array(*[x.cast("double") for x in (*low, F.col(name), *high)])
+
+
+def value_column(columns: list[str]) -> str:
+    """The column that holds a table's values."""
+    for name in ("y", "rv", "value"):
+        if name in columns:
+            return name
+    raise ValueError("the table has no column of values")
+
+
+def quantile_column(columns: list[str], p: float) -> str:
+    """The column of a quantile, however its name writes the probability."""
+    for name in (f"q{round(100 * p):02d}", f"q{p:g}", f"q_{p:g}", f"{p:g}", *(["median"] if p == 0.5 else [])):
+        if name in columns:
+            return name
+    raise ValueError(f"the table has no column of the quantile {p:g}")
+
+
 def q_array() -> Column:
     return F.array(*Q_COLUMNS)
 

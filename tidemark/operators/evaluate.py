@@ -219,3 +219,30 @@ def mcs_matrix(rows: DataFrame, models: list[str]) -> DataFrame:
     """Losses by series and origin, a column for each model, complete rows."""
     good = rows.where(~F.col("evaluation_fail"))
     return good.groupBy("unique_id", "origin").pivot("model", models).agg(F.first("loss")).dropna()
+
+
+def relative_mae(pairs: DataFrame, keys: list[str], a: str = "loss", b: str = "bench_loss") -> DataFrame:
+    """Mean absolute error by that of the benchmark over the same cells."""
+    return pairs.groupBy(*keys).agg(F.try_divide(F.avg(F.abs(a)), F.nullif(F.avg(F.abs(b)), F.lit(0.0))).alias("rel_mae"), F.count(F.lit(1)).alias("n"))
+
+
+def reason_counts(rows: DataFrame, keys: list[str] = ["task", "h", "model"]) -> DataFrame:
+    """Failures by reason as a map."""
+    each = rows.where("evaluation_fail").groupBy(*keys, "evaluation_fail_reason").count()
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("evaluation_fail_reason", "count")))).alias("reasons"))
+
+
+def coverage_notes(board: DataFrame, reasons: DataFrame, model: str, reason: str = "invalid_context", keys: list[str] = ["task", "h"]) -> DataFrame:
+    """Where a model's board has fewer series than the others' largest, and
+    failures for ``reason`` are why."""
+    own = board.where(F.col("model") == model).select(*keys, "n_series")
+    most = board.where(F.col("model") != model).groupBy(*keys).agg(F.max("n_series").alias("most_series"))
+    why = reasons.where(F.col("model") == model).select(*keys, F.coalesce(F.try_element_at("reasons", F.lit(reason)), F.lit(0)).alias("n_failures"))
+    out = own.join(most, keys).join(why, keys).where((F.coalesce("n_series", F.lit(0)) != F.col("most_series")) & (F.col("n_failures") > 0))
+    return out.select(*keys, F.lit(model).alias("model"), "n_series", "most_series", F.lit(reason).alias("reason"), "n_failures")
+
+
+def label_mismatch(expected: DataFrame, produced: DataFrame, keys: list[str] = ["unique_id", "h", "ds_target"]) -> DataFrame:
+    """Labels that are missing from what was produced, or extra in it."""
+    a, b = expected.select(*keys).distinct(), produced.select(*keys).distinct()
+    return a.join(b, keys, "left_anti").withColumn("kind", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("kind", F.lit("extra")))

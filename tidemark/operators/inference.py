@@ -18,30 +18,36 @@ from ..functions import special
 from ..functions.columns import hln_factor, kupiec_lr, newey_west_lag, ratio, xlogy
 
 
-def dm_statistic(pairs: DataFrame, keys: list[str], h: int, max_lag: int = 12, a: str = "loss", b: str = "bench_loss", order: str = "origin") -> DataFrame:
+def dm_statistic(pairs: DataFrame, keys: list[str], h: int, max_lag: int | None = None, a: str = "loss", b: str = "bench_loss", order: str = "origin") -> DataFrame:
     """Diebold-Mariano statistic with Bartlett weights and the small-sample
     factor: ``n, lag, dbar, statistic, reason``.
 
-    Autocovariances up to ``max_lag`` come from one window; the lag of
-    :func:`newey_west_lag` must not exceed it (12 holds up to n = 14,000).
+    Autocovariances come from one window.  Their number, the lag of
+    :func:`newey_west_lag` for the largest group, grows slowly: 12 at 14,000
+    rows, 31 at a million.  It is counted first unless ``max_lag`` is given; a
+    group that needs more than that raises.
     """
+    if max_lag is None:
+        most = pairs.groupBy(*keys).count().agg(F.max(newey_west_lag(F.col("count").cast("double")))).first()[0]
+        max_lag = max(0, most or 0)
     w, all_ = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
     d = pairs.withColumn("_d", F.col(a) - F.col(b)).withColumn("_c", F.col("_d") - F.avg("_d").over(all_))
     sums = [F.sum(F.col("_c") * F.col(f"_c{k}")).alias(f"g{k}") for k in range(max_lag + 1)]
     d = d.select(*keys, "_d", "_c", *[(F.col("_c") if not k else F.lag("_c", k).over(w)).alias(f"_c{k}") for k in range(max_lag + 1)])
     out = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("dbar"), F.max(F.abs("_d")).alias("_most"), *sums)
     out = out.withColumn("lag", F.least(newey_west_lag(F.col("n")), F.col("n").cast("int") - 1))
+    out = out.withColumn("lag", F.when(F.col("lag") > max_lag, F.raise_error(F.lit("a group needs more lags than max_lag")).cast("int")).otherwise(F.col("lag")))
     var = F.col("g0") / F.col("n")
     for k in range(1, max_lag + 1):
         weight = F.when(F.col("lag") >= k, 2 * (1 - k / (F.col("lag") + 1.0))).otherwise(0.0)
         var = var + weight * F.coalesce(F.col(f"g{k}"), F.lit(0.0)) / F.col("n")
     out = out.withColumn("_v", var).withColumn("_f", hln_factor(F.col("n").cast("double"), h))
     reason = (
-        F.when(F.col("n") < 2, "fewer than two finite pairs")
+        F.when(F.col("n") < 2, "too few pairs")
         .when(F.col("_most") == 0, F.lit(None))
-        .when(F.col("_v") < 0, "negative long-run variance")
-        .when(F.col("_v") == 0, "zero long-run variance")
-        .when(F.col("_f").isNull() | (F.col("_f") == 0), "invalid correction")
+        .when(F.col("_v") < 0, "variance below zero")
+        .when(F.col("_v") == 0, "variance of zero")
+        .when(F.col("_f").isNull() | (F.col("_f") == 0), "no small-sample factor")
     )
     stat = F.when(F.col("_most") == 0, F.lit(0.0)).when(F.col("_v") > 0, F.col("_f") * F.col("dbar") / F.sqrt(F.col("_v") / F.col("n")))
     return out.select(*keys, "n", "lag", "dbar", F.when(reason.isNull(), stat).alias("statistic"), reason.alias("reason"))
@@ -109,9 +115,9 @@ def christoffersen(rows: DataFrame, keys: list[str], violation: Column, p: float
     )
     n00, n01, n10, n11, n = (F.col(c) for c in ("n00", "n01", "n10", "n11", "n"))
     reason = (
-        F.when(n < 2, "fewer than two finite observations")
-        .when((F.col("n_viol") == 0) | (F.col("n_viol") == n), "all observations have the same violation state")
-        .when((n00 + n01 == 0) | (n10 + n11 == 0), "one Markov transition row is empty")
+        F.when(n < 2, "too few observations")
+        .when((F.col("n_viol") == 0) | (F.col("n_viol") == n), "only one state occurs")
+        .when((n00 + n01 == 0) | (n10 + n11 == 0), "a state has no successor")
     )
     d = lambda a, b: ratio(a.cast("double"), b.cast("double"))
     ll = lambda k, m, q: xlogy(k, q) + xlogy(m - k, 1 - q)

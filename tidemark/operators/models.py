@@ -2,8 +2,7 @@
 
 Those without a fit are windows: one pass gives every origin's forecast at
 once, and cells pick theirs by an equi-join.  Fitted ones are grouped maps over
-a series and horizon; a fit is used for ``REFIT`` origins, counted from the
-window's start, so a run that resumes gives the same numbers.
+a series and horizon; a fit is used until ``REFIT`` further rows are known.
 
 Each returns ``unique_id, origin, h, ds_target, yhat, median, q10 .. q90, fail,
 fail_reason`` (:data:`FORECAST`); a model that can't forecast returns the row
@@ -25,8 +24,8 @@ from .windows import LAGS, har_features, lag_features, rolling_sum
 
 KEY = ["unique_id", "origin", "h", "ds_target"]
 FORECAST = "unique_id string, origin date, h int, ds_target date, yhat double, median double, " + ", ".join(f"{q} double" for q in Q_COLUMNS) + ", fail boolean, fail_reason string"
-#: Rows of the estimation window, pairs that calibration needs, origins that
-#: share a fit.
+#: Rows of the estimation window, pairs that calibration needs, rows after which
+#: a model is fitted again.
 ESTIMATION, PAIRS, REFIT = 250, 60, 5
 
 
@@ -107,40 +106,67 @@ def seasonal(panel: DataFrame, cells: DataFrame, last: int) -> DataFrame:
     return _finish(found, F.col("x.y"), F.col("x.q"), reason)
 
 
+def summed(targets: str | dict[int, str], h: int) -> bool:
+    """Whether a horizon's target is the sum of its ``h`` rows, not the last of
+    them.  ``targets``: "direct" or "sum" for all horizons or for each."""
+    return h > 1 and (targets if isinstance(targets, str) else targets.get(h, "direct")) == "sum"
+
+
 def ewma_path(returns: DataFrame, lam: float = 0.94) -> DataFrame:
     """``unique_id, ds, sigma2``: the variance forecast for the next row, with
-    the mean of the first 20 squares as its start."""
+    the mean of the first 20 squares as its start.
+
+    The recursion in closed form over pieces of 512 rows, of which the powers
+    of ``lam`` stay far from overflow.
+    """
 
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         r2 = np.square(pdf["ret"].to_numpy("float64"))
         out, s = np.empty(len(r2)), float(np.mean(r2[:20]))
-        for i, x in enumerate(r2):
-            out[i] = s = lam * s + (1 - lam) * x
+        for at in range(0, len(r2), 512):
+            part = r2[at : at + 512]
+            fade = lam ** np.arange(1, len(part) + 1)
+            out[at : at + 512] = fade * (s + (1 - lam) * np.cumsum(part / fade))
+            s = float(out[at + len(part) - 1])
         return pd.DataFrame({"unique_id": pdf["unique_id"], "ds": pdf["ds"], "sigma2": out})
 
     clean = returns.where(F.col("ret").isNotNull())
     return clean.groupBy("unique_id").applyInPandas(path, "unique_id string, ds date, sigma2 double")
 
 
-def ewma(rv: DataFrame, returns: DataFrame, cells: DataFrame, n: int = ESTIMATION) -> DataFrame:
-    """Exponentially weighted variance for the next row; deciles from ratios of
-    the realised to what had been forecast for the same row."""
+def ewma(rv: DataFrame, returns: DataFrame, cells: DataFrame, n: int = ESTIMATION, horizons: list[int] | None = None, targets: str | dict[int, str] = "direct") -> DataFrame:
+    """Exponentially weighted variance of a row ahead, or ``h`` times that for
+    a sum; deciles from ratios of the realised to what had been forecast.
+
+    Direct: for the same row.  Sums: of blocks of ``h`` rows back from the
+    origin, within the estimation window, to ``h`` times what had been forecast
+    for the row before the block.
+    """
     path = ewma_path(returns)
-    ahead = Window.partitionBy("unique_id").orderBy("ds")
-    path = path.withColumn("for_ds", F.lag("sigma2").over(ahead))
-    rows = rv.join(path, ["unique_id", "ds"], "left").withColumn("_r", positive(ratio(positive("y"), positive("for_ds"))))
-    w = series().rowsBetween(1 - n, 0)
-    state = rows.select(
-        "unique_id",
-        F.col("ds").alias("origin"),
-        F.last("sigma2", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0)).alias("f"),
-        _deciles("_r", w).alias("_q"),
-        F.count("_r").over(w).alias("n_pairs"),
-    )
-    mine = cells.join(state, ["unique_id", "origin"])
-    reason = F.when(F.col("f").isNull(), "insufficient_return_history").when(F.col("f") <= 0, "nonpositive_forecast")
-    return _finish(mine, F.col("f"), calibrated(F.col("f"), F.col("_q"), F.col("n_pairs")), reason)
+    path = path.withColumn("for_ds", F.lag("sigma2").over(series()))
+    out = None
+    for h in horizons or [1]:
+        if summed(targets, h):
+            rows = rolling_sum(rv, h).join(path, ["unique_id", "ds"], "left")
+            rows = rows.withColumn("_r", positive(ratio(positive("s"), positive(h * F.lag("for_ds", h).over(series())))))
+            pairs = n // h - (n % h == 0)
+            w, times = Window.partitionBy("unique_id", F.col("rn") % h).orderBy("rn").rowsBetween(1 - pairs, 0), h
+        else:
+            rows = rv.join(path, ["unique_id", "ds"], "left").withColumn("_r", positive(ratio(positive("y"), positive("for_ds"))))
+            w, times = series().rowsBetween(1 - n, 0), 1
+        state = rows.select(
+            "unique_id",
+            F.col("ds").alias("origin"),
+            (times * F.last("sigma2", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))).alias("f"),
+            _deciles("_r", w).alias("_q"),
+            F.count("_r").over(w).alias("n_pairs"),
+        )
+        mine = (cells.where(F.col("h") == h) if horizons else cells).join(state, ["unique_id", "origin"])
+        reason = F.when(F.col("f").isNull(), "insufficient_return_history").when(F.col("f") <= 0, "nonpositive_forecast")
+        part = _finish(mine, F.col("f"), calibrated(F.col("f"), F.col("_q"), F.col("n_pairs")), reason)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def index_regression(rv: DataFrame, index: DataFrame) -> DataFrame:
@@ -166,9 +192,9 @@ def index_regression(rv: DataFrame, index: DataFrame) -> DataFrame:
     return fit.select("unique_id", "origin", "n", "a", "b", s2.alias("sigma2"), F.exp(mu + s2 / 2).alias("mean"), F.exp(mu).alias("median"))
 
 
-def _grouped(cells: DataFrame, rows: DataFrame, fit_predict, columns: list[str]) -> DataFrame:
-    """Cogroup a series' cells with its rows and forecast them one refit block
-    after another.  ``fit_predict(known, origins) -> list of (mean, median,
+def _grouped(cells: DataFrame, rows: DataFrame, fit_predict, columns: list[str], refit: int = REFIT) -> DataFrame:
+    """Cogroup a series' cells with its rows and forecast them one refit block,
+    of ``refit`` rows, after another.  ``fit_predict(known, origins) -> list of (mean, median,
     deciles or None)`` sees rows up to the block's first origin for the fit and
     up to each origin for the state."""
 
@@ -177,10 +203,12 @@ def _grouped(cells: DataFrame, rows: DataFrame, fit_predict, columns: list[str])
         out = []
         for h, mine in left.groupby("h"):
             mine = mine.sort_values("origin").reset_index(drop=True)
-            for at in range(0, len(mine), REFIT):
-                block = mine.iloc[at : at + REFIT]
+            seen, at = np.searchsorted(right["ds"].to_numpy(), mine["origin"].to_numpy(), side="right"), 0
+            while at < len(mine):
+                # A fit serves the origins until ``refit`` further rows are known.
+                end = max(at + 1, int(np.searchsorted(seen, seen[at] + refit)))
+                block, known, at = mine.iloc[at:end], seen[at:end], end
                 try:
-                    known = np.searchsorted(right["ds"].to_numpy(), block["origin"].to_numpy(), side="right")
                     made = fit_predict(right, known, int(h))
                 except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
                     made = [str(e) or "fit_error"] * len(block)
@@ -197,27 +225,46 @@ def _grouped(cells: DataFrame, rows: DataFrame, fit_predict, columns: list[str])
     return cells.groupBy("unique_id").cogroup(rows.groupBy("unique_id")).applyInPandas(run, FORECAST)
 
 
-def har(rv: DataFrame, cells: DataFrame) -> DataFrame:
-    """Direct log regression on the day's, the week's and the month's mean;
-    the target is the log of the sum of the next ``h`` rows."""
+def _tail(y: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the whole blocks of ``h`` rows back from the end start, if there is
+    a row before, and their sums."""
+    skip = len(y) % h
+    start = skip + h * np.arange(len(y) // h)
+    total = y[skip:].reshape(-1, h).sum(1)
+    return start[start > 0], total[start > 0]
+
+
+def log_regression(rows: DataFrame, cells: DataFrame, names: list[str], least: int, reach: int, n: int | None, targets: str | dict[int, str], refit: int = REFIT) -> DataFrame:
+    """Regression of the log target on features known ``h`` rows before, or for
+    sums, of non-overlapping blocks, on those before the block; the mean with
+    the residual variance, the median, and deciles of the residuals.
+
+    ``n``: rows of the estimation window, all if None; a feature looks back
+    over ``reach`` rows and is missing where the window has fewer.
+    """
 
     def fit_predict(rows: pd.DataFrame, known: np.ndarray, h: int):
-        x, y = rows[["l1", "l5", "l22"]].to_numpy("float64"), rows["y"].to_numpy("float64")
-        n = int(known[0])
-        total = np.convolve(np.nan_to_num(y, nan=-np.inf), np.ones(h), "valid")[1:]
-        m = max(0, n - h)
+        x, y = rows[names].to_numpy("float64"), rows["y"].to_numpy("float64")
+        at = max(0, int(known[0]) - n) if n else 0
+        v, f = y[at : known[0]], x[at : known[0]].copy()
+        f[: reach - 1] = np.nan
+        if summed(targets, h):
+            start, total = _tail(v, h)
+            f, v = f[start - 1], total
+        else:
+            f, v = f[: max(0, len(v) - h)], v[h:]
         with np.errstate(invalid="ignore", divide="ignore"):
-            target = np.log(total[:m])
-        good = np.isfinite(x[:m]).all(1) & np.isfinite(target)
-        if good.sum() < 5:
+            target = np.log(v)
+        good = np.isfinite(f).all(1) & np.isfinite(target)
+        if good.sum() < least:
             raise ValueError("insufficient_history")
-        design = np.column_stack([np.ones(m), x[:m]])[good]
+        design = np.column_stack([np.ones(len(f)), f])[good]
         beta = np.linalg.lstsq(design, target[good], rcond=None)[0]
         resid = target[good] - design @ beta
         s2, q = float(np.mean(resid**2)), np.quantile(resid, DECILES)
         out = []
         for k in known:
-            f = x[k - 1] if k else np.array([np.nan])
+            f = x[k - 1] if k else np.full(len(names), np.nan)
             if not np.isfinite(f).all():
                 out.append("insufficient_history")
                 continue
@@ -225,7 +272,24 @@ def har(rv: DataFrame, cells: DataFrame) -> DataFrame:
             out.append((math.exp(mu + s2 / 2), math.exp(mu), np.exp(mu + q)))
         return out
 
-    return _grouped(cells, har_features(rv), fit_predict, ["unique_id", "ds", "y", "l1", "l5", "l22"])
+    return _grouped(cells, rows, fit_predict, ["unique_id", "ds", "y", *names], refit)
+
+
+def har(rv: DataFrame, cells: DataFrame, n: int | None = None, targets: str | dict[int, str] = "direct", refit: int = REFIT) -> DataFrame:
+    """Log regression on the day's, the week's and the month's mean."""
+    return log_regression(har_features(rv), cells, ["l1", "l5", "l22"], 5, 22, n, targets, refit)
+
+
+def dvol(rv: DataFrame, index: DataFrame, cells: DataFrame, n: int | None = None, targets: str | dict[int, str] = "direct", refit: int = REFIT) -> DataFrame:
+    """Log regression on the daily variance that the latest volatility index
+    (per cent a year, ``unique_id, ds, x``) stands for.  Days without an index
+    are dropped; one of zero has no log, and its pairs are skipped."""
+    rows = asof_join(rv, index.where(F.col("x").isNotNull())).withColumn("lx", 2 * log(F.col("x") / 100) - math.log(365))
+    some = rows.where(F.col("x").isNotNull()).select("unique_id").distinct()
+    made = log_regression(rows, cells.join(some, "unique_id", "left_semi"), ["lx"], 4, 1, n, targets, refit)
+    nulls = [F.lit(None).cast("double").alias(c) for c in ("yhat", "median", *Q_COLUMNS)]
+    none = cells.join(some, "unique_id", "left_anti").select("unique_id", "origin", F.col("h").cast("int").alias("h"), "ds_target", *nulls, F.lit(True).alias("fail"), F.lit("missing_dvol_history").alias("fail_reason"))
+    return made.unionByName(none)
 
 
 def nelder_mead(f, start: np.ndarray, steps: int = 160) -> np.ndarray:
@@ -256,14 +320,23 @@ def nelder_mead(f, start: np.ndarray, steps: int = 160) -> np.ndarray:
 
 
 def garch_filter(r2: np.ndarray, down: np.ndarray, p: tuple[float, float, float, float]) -> np.ndarray:
-    """Conditional variances, the last one for the next row."""
+    """Conditional variances, the last one for the next row.
+
+    The recursion s <- drive + b s over pieces of 32 rows at once: within a
+    piece a triangle of powers of b, then what each piece carries on.
+    """
     w, a, g, b = p
-    drive = (w + (a + g * down) * r2).tolist()
-    out, s = [float(np.mean(r2))], float(np.mean(r2))
-    for d in drive:
-        s = d + b * s
-        out.append(s)
-    return np.array(out)
+    n, size, first = len(r2), 32, float(np.mean(r2))
+    drive = np.zeros(-(-n // size) * size)
+    drive[:n] = w + (a + g * down) * r2
+    power = b ** np.arange(size + 1)
+    back = np.subtract.outer(np.arange(size), np.arange(size))
+    own = np.where(back >= 0, power[np.abs(back)], 0.0) @ drive.reshape(-1, size).T
+    carried, s = [], first
+    for last in own[-1].tolist():
+        carried.append(s)
+        s = power[size] * s + last
+    return np.append(first, (own + np.outer(power[1:], carried)).T.ravel()[:n])
 
 
 def garch_fit(r: np.ndarray, asymmetric: bool) -> tuple[float, float, float, float]:
@@ -289,26 +362,51 @@ def garch_fit(r: np.ndarray, asymmetric: bool) -> tuple[float, float, float, flo
     return params(nelder_mead(loss, np.array([3.0, -2.0, -2.0][: 3 if asymmetric else 2])))
 
 
-def garch(returns: DataFrame, cells: DataFrame, asymmetric: bool = False, n: int = 1000) -> DataFrame:
+def garch(returns: DataFrame, cells: DataFrame, asymmetric: bool = False, n: int = 1000, rv: DataFrame | None = None, targets: str | dict[int, str] = "direct", refit: int = REFIT) -> DataFrame:
     """GARCH(1,1), or GJR with its leverage term, on returns times 100; the
-    forecast is the sum of the next ``h`` variances."""
+    forecast is the variance of the ``h``-th row ahead, or the sum up to it.
+
+    With the realised variances ``rv``, deciles come from their ratios to the
+    conditional variances of the same rows, or of blocks back from the origin
+    to ``h`` times the variance of the row before.
+    """
+
+    fitted: dict[tuple, tuple] = {}
 
     def fit_predict(rows: pd.DataFrame, known: np.ndarray, h: int):
-        r = 100 * rows["ret"].to_numpy("float64")
-        p = garch_fit(r[max(0, known[0] - n) : known[0]], asymmetric)
-        w, a, g, b = p
+        r, real = 100 * rows["ret"].to_numpy("float64"), rows["y"].to_numpy("float64")
+        has = np.isfinite(r)
+        first = np.flatnonzero(has[: known[0]])[-n:]
+        # Horizons share fits.
+        key = (rows["unique_id"].iloc[0], int(known[0]))
+        if key not in fitted:
+            fitted[key] = garch_fit(r[first], asymmetric)
+        w, a, g, b = p = fitted[key]
         stay, out = a + g / 2 + b, []
         for k in known:
-            x = r[max(0, k - n) : k]
-            s = float(garch_filter(x * x, (x < 0).astype(float) * asymmetric, p)[-1])
-            total = 0.0
+            at = np.flatnonzero(has[:k])[-n:]
+            x = r[at]
+            path = garch_filter(x * x, (x < 0).astype(float) * asymmetric, p) / 1e4
+            steps, s = [], float(path[-1])
             for _ in range(h):
-                total += s
-                s = w + stay * s
-            out.append((total / 1e4, total / 1e4, None))
+                steps.append(s)
+                s = w / 1e4 + stay * s
+            point = sum(steps) if summed(targets, h) else steps[-1]
+            past = np.full(k, np.nan)
+            past[at] = path[:-1]
+            there = np.flatnonzero(np.isfinite(real[:k]))
+            if summed(targets, h):
+                start, total = _tail(real[there], h)
+                ratios = total / (h * past[there[start - 1]])
+            else:
+                ratios = real[there] / past[there]
+            ratios = ratios[np.isfinite(ratios) & (ratios > 0)]
+            out.append((point, point, point * np.quantile(ratios, DECILES) if len(ratios) >= PAIRS else None))
         return out
 
-    return _grouped(cells, returns.where(F.col("ret").isNotNull()), fit_predict, ["unique_id", "ds", "ret"])
+    rows = returns.select("unique_id", "ds", "ret")
+    seen = rv.select("unique_id", "ds", "y") if rv is not None else rows.select("unique_id", "ds", F.lit(None).cast("double").alias("y"))
+    return _grouped(cells, rows.join(seen, ["unique_id", "ds"], "full_outer"), fit_predict, ["unique_id", "ds", "ret", "y"], refit)
 
 
 def _smooth(y: np.ndarray, alpha: float, beta: float, gamma: float, season: int, trend: bool, cyclic: bool):
@@ -326,7 +424,7 @@ def _smooth(y: np.ndarray, alpha: float, beta: float, gamma: float, season: int,
     return np.array(errors), level, slope, cycle
 
 
-def ets(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400) -> DataFrame:
+def ets(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400, refit: int = REFIT) -> DataFrame:
     """Additive exponential smoothing with or without trend and season, chosen
     by the corrected information criterion; Gaussian deciles."""
     z = np.array([-1.281552, -0.841621, -0.524401, -0.253347, 0.0, 0.253347, 0.524401, 0.841621, 1.281552])
@@ -355,10 +453,10 @@ def ets(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400) -> Da
             out.append((mean, mean, mean + sd * z))
         return out
 
-    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"])
+    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"], refit)
 
 
-def theta(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400) -> DataFrame:
+def theta(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400, refit: int = REFIT) -> DataFrame:
     """The theta method: half the trend line, half smoothing of the doubled
     curvature, on data without their weekly pattern; residual deciles."""
 
@@ -381,10 +479,10 @@ def theta(panel: DataFrame, cells: DataFrame, season: int = 7, n: int = 400) ->
             out.append((mean, mean, mean + np.quantile(0.5 * e, DECILES)))
         return out
 
-    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"])
+    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"], refit)
 
 
-def trend_reference(panel: DataFrame, cells: DataFrame, n: int = 400) -> DataFrame:
+def trend_reference(panel: DataFrame, cells: DataFrame, n: int = 400, refit: int = REFIT) -> DataFrame:
     """A reference model with a point forecast only: ridge regression on a
     trend and yearly and weekly Fourier terms."""
 
@@ -409,10 +507,10 @@ def trend_reference(panel: DataFrame, cells: DataFrame, n: int = 400) -> DataFra
             out.append((float(both[-1] @ beta), None, None))
         return out
 
-    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"])
+    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"], refit)
 
 
-def external(panel: DataFrame, cells: DataFrame, backend, context: int = 512) -> DataFrame:
+def external(panel: DataFrame, cells: DataFrame, backend, context: int = 512, refit: int = REFIT) -> DataFrame:
     """A slot for a model outside: ``backend(list of contexts, h) -> list of
     (mean, nine deciles)`` is called once for each refit block."""
 
@@ -421,7 +519,7 @@ def external(panel: DataFrame, cells: DataFrame, backend, context: int = 512) ->
         made = backend([y[max(0, k - context) : k] for k in known], h)
         return [(mean, q[4], sorted(q)) for mean, q in made]
 
-    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"])
+    return _grouped(cells, panel.where(F.col("y").isNotNull()), fit_predict, ["unique_id", "ds", "y"], refit)
 
 
 def stub_backend(contexts: list[np.ndarray], h: int) -> list[tuple[float, list[float]]]:
@@ -429,9 +527,11 @@ def stub_backend(contexts: list[np.ndarray], h: int) -> list[tuple[float, list[f
     return [(float(np.mean(c[-64:])), np.quantile(c[-64:], DECILES).tolist()) for c in contexts]
 
 
-def boosted_trees(panel: DataFrame, cells: DataFrame, h: int, refit: str, iterations: int = 12) -> DataFrame:
-    """One gradient-boosted model over all series, fitted on rows whose target
-    is known at ``refit``, with in-sample residual deciles."""
+def boosted_trees(panel: DataFrame, cells: DataFrame, h: int, refit: str, iterations: int = 12, until: str | None = None) -> DataFrame:
+    """Gradient-boosted models over all series, one for the mean and one with
+    the absolute loss for the median, fitted on rows whose target is known at
+    ``refit``, with in-sample residual deciles; for origins from then on, before
+    ``until``."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -440,13 +540,26 @@ def boosted_trees(panel: DataFrame, cells: DataFrame, h: int, refit: str, iterat
     rows = rows.dropna(subset=[f"lag_{LAGS[-1]}", "y"])
     rows = StringIndexer(inputCol="unique_id", outputCol="series", handleInvalid="keep").fit(rows).transform(rows)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    train = rows.where(F.col("target").isNotNull() & (F.col("at") <= F.to_date(F.lit(refit))))
-    model = GBTRegressor(featuresCol="features", labelCol="target", maxIter=iterations, maxDepth=4, seed=7).fit(train)
-    resid = model.transform(train).select((F.col("target") - F.col("prediction")).alias("r")).agg(F.percentile("r", F.array(*map(F.lit, DECILES))).alias("q")).first()["q"]
-    made = model.transform(rows).select("unique_id", F.col("ds").alias("origin"), "prediction")
-    mine = cells.where((F.col("h") == h) & (F.col("origin") >= F.to_date(F.lit(refit)))).join(made, ["unique_id", "origin"], "left")
+    train = rows.where(F.col("target").isNotNull() & (F.col("at") <= F.to_date(F.lit(refit)))).select("unique_id", "ds", "features", "target")
+    asked = {"featuresCol": "features", "labelCol": "target", "maxIter": iterations, "maxDepth": 4, "seed": 7}
+    mean, middle = GBTRegressor(**asked).fit(train), GBTRegressor(**asked, lossType="absolute", predictionCol="middle").fit(train)
+    resid = mean.transform(train).select((F.col("target") - F.col("prediction")).alias("r")).agg(F.percentile("r", F.array(*map(F.lit, DECILES))).alias("q")).first()["q"]
+    made = middle.transform(mean.transform(rows)).select("unique_id", F.col("ds").alias("origin"), "prediction", "middle")
+    mine = cells.where((F.col("h") == h) & (F.col("origin") >= F.to_date(F.lit(refit))))
+    mine = (mine.where(F.col("origin") < F.to_date(F.lit(until))) if until else mine).join(made, ["unique_id", "origin"], "left")
     q = F.array(*[F.col("prediction") + F.lit(float(r)) for r in resid])
-    return _finish(mine, F.col("prediction"), q, F.when(F.col("prediction").isNull(), "insufficient_history"))
+    return _finish(mine, F.col("prediction"), q, F.when(F.col("prediction").isNull(), "insufficient_history"), F.col("middle"))
+
+
+def boosted_refits(panel: DataFrame, cells: DataFrame, h: int, every: int = REFIT, iterations: int = 12) -> DataFrame:
+    """:func:`boosted_trees` fitted again at every ``every``-th day that has an
+    origin.  The days are a schedule's, so few; each fit is a job over all rows."""
+    days = [str(r.origin) for r in cells.where(F.col("h") == h).select("origin").distinct().orderBy("origin").collect()][::every]
+    out = None
+    for day, until in zip(days, [*days[1:], None]):
+        part = boosted_trees(panel, cells, h, day, iterations, until)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else boosted_trees(panel, cells, h, "1970-01-01", iterations)
 
 
 def validated(forecasts: DataFrame, is_positive: Column, tolerance: float = 1e-12) -> DataFrame:
@@ -491,6 +604,22 @@ REGISTRY = {
 }
 
 
+def supports(model: str, uid: Column | str = "unique_id") -> Column:
+    """Whether a model applies to a series: GARCH to realised variances, its
+    asymmetric form to the equity index only, DVOL to assets with an index."""
+    uid = F.col(uid) if isinstance(uid, str) else uid
+    if model == "GJR-GARCH":
+        return uid == "RV_N225_GK"
+    if model == "DVOL":
+        return uid.isin("RV_BTC", "RV_ETH")
+    return uid.startswith("RV_") if model == "GARCH" else uid.isNotNull()
+
+
+def reference_models(names: list[str]) -> list[str]:
+    """Of these the ones that reports show beside the others only."""
+    return [n for n in names if REGISTRY.get(n, (None, False))[1]]
+
+
 def resolve_models(task: str, names: list[str] | None = None) -> list[str]:
     """Names of a task's models, all or the ones asked for, case-insensitive."""
     own = {n.lower(): n for n, (tasks, _) in REGISTRY.items() if task in tasks}

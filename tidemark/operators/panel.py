@@ -135,3 +135,25 @@ def asof_join(left: DataFrame, right: DataFrame, value: str = "x", key: str = "u
     w = Window.partitionBy(key).orderBy(ds, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_last", F.last("_x", ignorenulls=True).over(w))
     return both.where("_side = 1").select(*names, F.col("_last").alias(value))
+
+
+def log_change_variance(panel: DataFrame, until: str | None = None) -> DataFrame:
+    """``unique_id, sigma2``: sample variance of the changes of the log value;
+    0 with fewer than three rows or a value that isn't positive."""
+    rows = panel.where(F.col("y").isNotNull())
+    rows = rows.where(F.col("ds") <= F.to_date(F.lit(until))) if until else rows
+    moved = rows.withColumn("_d", F.ln(F.when(F.col("y") > 0, F.col("y"))) - F.lag(F.ln(F.when(F.col("y") > 0, F.col("y")))).over(series()))
+    whole = (F.count(F.lit(1)) >= 3) & (F.min("y") > 0)
+    return moved.groupBy("unique_id").agg(F.when(whole, F.var_samp("_d")).otherwise(0.0).alias("sigma2"))
+
+
+def estimation_windows(panel: DataFrame, sizes: dict[str, int], expanding: bool = False) -> DataFrame:
+    """The last rows of each series, as many as its group asks for; all of them
+    where the group has no size, or for ``expanding`` windows."""
+    if expanding or not sizes:
+        return panel
+    from ..functions.columns import adapter_group
+
+    size = F.coalesce(*[F.when(adapter_group("unique_id") == g, F.lit(n)) for g, n in sizes.items()], F.when(adapter_group("unique_id").contains("crypto"), F.lit(sizes.get("crypto"))))
+    place = F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))
+    return panel.withColumn("_n", place).where(size.isNull() | (F.col("_n") <= size)).drop("_n")

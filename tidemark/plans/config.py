@@ -28,6 +28,12 @@ class Task:
     context: int = 2048
     transform: str | None = None
     models: tuple[str, ...] = field(default=())
+    estimation: str = "rolling"
+    estimation_windows: Mapping[str, int] = field(default_factory=dict)
+
+    @property
+    def targets(self) -> dict[int, str]:
+        return {x.h: x.target for x in self.horizons}
 
 
 def load_task(source: str | Path | Mapping) -> Task:
@@ -44,6 +50,8 @@ def load_task(source: str | Path | Mapping) -> Task:
     )
     series = source["series"]
     names = [s for group in series.values() for s in group] if isinstance(series, Mapping) else list(series)
-    rest = {k: source[k] for k in ("refit_every", "context", "transform") if k in source}
+    rest = {k: source[k] for k in ("refit_every", "context", "transform", "estimation", "estimation_windows") if k in source}
+    if rest.get("estimation", "rolling") not in ("rolling", "expanding"):
+        raise ValueError("estimation is rolling or expanding")
     ends = {k: (str(v[0]), str(v[1])) if not isinstance(v, Mapping) else (str(v["start"]), str(v["end"])) for k, v in source["windows"].items()}
     return Task(source["task"], tuple(names), horizons, ends, source["primary_benchmark"], models=tuple(source.get("models", ())), **rest)

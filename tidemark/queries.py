@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import Q_COLUMNS, adapter_group, overlap_design_effect, q_array, report_group
+from .functions.columns import Q_COLUMNS, kth, levels_to_deciles, overlap_design_effect, return_id, spread_deciles
 from .functions.special import mde
 from .operators import audit, evaluate, inference, models, panel, windows
 from .plans import tables as t
@@ -37,10 +37,10 @@ CTE: dict[str, str] = {
     "ret": "SELECT unique_id, ds, ln(close) - ln(open) AS ret FROM ohlc",
     "candles": """SELECT event_type AS unique_id, date_trunc('hour', ts) AS ts, last(value ORDER BY ts, event_id) AS close, count(*) AS n
         FROM events GROUP BY 1, 2""",
-    "pidx": f"""SELECT unique_id, ds, CASE WHEN m > 0 THEN 100 * sqrt(365 * m) END AS x FROM (SELECT *, avg(y) OVER ({P} ROWS 20 PRECEDING) AS m,
-        row_number() OVER ({P}) AS rn FROM price) WHERE rn % 3 = 0""",
-    "ridx": f"""SELECT unique_id, ds, CASE WHEN m > 0 THEN 100 * sqrt(365 * m) END AS x FROM (SELECT *, avg(y) OVER ({P} ROWS 20 PRECEDING) AS m,
-        row_number() OVER ({P}) AS rn FROM rv) WHERE rn % 3 = 0""",
+    "pidx": f"""SELECT unique_id, ds, 100 * sqrt(365 * m) AS x FROM (SELECT *, avg(y) OVER ({P} ROWS 20 PRECEDING) AS m,
+        row_number() OVER ({P}) AS rn FROM price) WHERE rn % 3 = 0 AND m > 0""",
+    "ridx": f"""SELECT unique_id, ds, 100 * sqrt(365 * m) AS x FROM (SELECT *, avg(y) OVER ({P} ROWS 20 PRECEDING) AS m,
+        row_number() OVER ({P}) AS rn FROM rv) WHERE rn % 3 = 0 AND m > 0""",
 }
 
 
@@ -57,6 +57,7 @@ _cells("pcells", "price", [(1, 5), (5, 5)])
 _cells("vcells", "lvol", [(1, 5)])
 _cells("rcells", "rv", [(1, 5)])
 _cells("rcells5", "rv", [(1, 5), (5, 5)])
+_cells("rcells3", "rv", [(3, 5)])
 
 
 def _rw(name: str, source: str, cells: str, horizons: list[int]) -> None:
@@ -116,6 +117,18 @@ CTE["ewma"] = f"""SELECT c.unique_id, c.origin, c.h, c.ds_target, s.f AS yhat,
         FROM (SELECT rv.unique_id, rv.ds, p.sigma2, CASE WHEN rv.y > 0 AND p.for_ds > 0 THEN rv.y / p.for_ds END AS r FROM rv
               LEFT JOIN (SELECT *, lag(sigma2) OVER ({P}) AS for_ds FROM path) p ON rv.unique_id = p.unique_id AND rv.ds = p.ds)
         WINDOW w AS ({P} ROWS {models.ESTIMATION - 1} PRECEDING)) s ON c.unique_id = s.unique_id AND c.origin = s.ds"""
+# Blocks of three rows: ratios to three times the forecast for the row before.
+CTE["ewma3"] = f"""SELECT c.unique_id, c.origin, c.h, c.ds_target, 3 * s.f AS yhat,
+    CASE WHEN s.np >= {models.PAIRS} AND s.f > 0 THEN list_transform(s.rq, lambda x: x * 3 * s.f) END AS q, coalesce(s.f <= 0, true) AS fail
+    FROM rcells3 c JOIN (
+        SELECT unique_id, ds, f, quantile_cont(r, {QL}) OVER w AS rq, count(r) OVER w AS np
+        FROM (SELECT *, CASE WHEN s > 0 AND pf > 0 THEN s / (3 * pf) END AS r FROM (
+            SELECT v.unique_id, v.ds, v.rn, v.s, lag(p.for_ds, 3) OVER (PARTITION BY v.unique_id ORDER BY v.ds) AS pf,
+                   last_value(p.sigma2 IGNORE NULLS) OVER (PARTITION BY v.unique_id ORDER BY v.ds ROWS UNBOUNDED PRECEDING) AS f
+            FROM (SELECT unique_id, ds, row_number() OVER ({P}) AS rn,
+                         CASE WHEN count(y) OVER ({P} ROWS 2 PRECEDING) = 3 THEN sum(y) OVER ({P} ROWS 2 PRECEDING) END AS s FROM rv) v
+            LEFT JOIN (SELECT *, lag(sigma2) OVER ({P}) AS for_ds FROM path) p ON v.unique_id = p.unique_id AND v.ds = p.ds))
+        WINDOW w AS (PARTITION BY unique_id, rn % 3 ORDER BY rn ROWS {models.ESTIMATION // 3 - 1} PRECEDING)) s ON c.unique_id = s.unique_id AND c.origin = s.ds"""
 _m = "unique_id, origin, h, ds_target, yhat, q, fail, fail_reason"
 CTE["vfacts"] = " UNION ALL ".join(f"SELECT 'volume' AS task, '{n}' AS model, {_m} FROM {c}" for n, c in (("SeasonalNaive7", "sn7"), ("SeasonalMedian4", "sm4"), ("RW", "rw_vol")))
 CTE["rfacts"] = " UNION ALL ".join(f"SELECT 'rv' AS task, '{n}' AS model, {_m} FROM {c}" for n, c in (("NaivePrev", "prev"), ("EWMA", "ewma")))
@@ -266,13 +279,16 @@ def gk_daily(spark, d):
     return panel.gk_daily(t.ohlc(spark, d)).select("unique_id", "ds", r("rv", 9))
 
 
-@query("""SELECT g.unique_id, g.ds, CASE WHEN n = 24 AND np = 24 THEN round(v, 6) END AS rv, CAST(greatest(0, coalesce(n, 0) - 1) AS DOUBLE) AS m_intervals,
+RV_DAYS = """SELECT g.unique_id, g.ds, CASE WHEN n = 24 AND np = 24 THEN round(v, 6) END AS rv, CAST(greatest(0, coalesce(n, 0) - 1) AS DOUBLE) AS m_intervals,
         CASE WHEN n = 24 AND np = 24 THEN NULL ELSE 'missing_intervals' END AS reason
     FROM (SELECT unique_id, CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS DATE) AS ds FROM candles GROUP BY 1) g
     LEFT JOIN (SELECT unique_id, ds, count(*) AS n, count(p) AS np, sum(power(p - pp, 2)) AS v FROM (
         SELECT *, lag(p) OVER (PARTITION BY unique_id, ds ORDER BY ts) AS pp FROM (
             SELECT unique_id, ts, CAST(ts AS DATE) AS ds, CASE WHEN close > 0 THEN ln(close) END AS p FROM candles)) GROUP BY 1, 2) x
-    ON g.unique_id = x.unique_id AND g.ds = x.ds""")
+    ON g.unique_id = x.unique_id AND g.ds = x.ds"""
+
+
+@query(RV_DAYS)
 def rv_complete_days(spark, d):
     return panel.realized_variance(t.candles(spark, d), 24).withColumn("rv", F.round("rv", 6))
 
@@ -365,6 +381,13 @@ def ewma_calibrated(spark, d):
     return models.ewma(v, t.returns(spark, d), cells).select("unique_id", "origin", "h", r("yhat", 8), *rq(7))
 
 
+@query(f"SELECT unique_id, origin, h, round(yhat, 8) AS yhat, {sq(7)}, fail FROM ewma3")
+def ewma_sum(spark, d):
+    v = t.rv(spark, d)
+    cells = windows.origin_schedule(v, t.START, t.END, [(3, 5)])
+    return models.ewma(v, t.returns(spark, d), cells, horizons=[3], targets="sum").select("unique_id", "origin", "h", r("yhat", 8), *rq(7), "fail")
+
+
 @query(f"""SELECT unique_id, origin, n, round(a, 5) AS a, round(b, 5) AS b, round((syy - sxy * sxy / sxx) / n, 5) AS sigma2, round(exp(a + b * lx), 5) AS median
     FROM (SELECT unique_id, ds AS origin, lx, regr_count(ly, px) OVER w AS n, regr_slope(ly, px) OVER w AS b, regr_intercept(ly, px) OVER w AS a,
                  regr_syy(ly, px) OVER w AS syy, regr_sxy(ly, px) OVER w AS sxy, regr_sxx(ly, px) OVER w AS sxx
@@ -385,52 +408,103 @@ def _wide_cells(p: DataFrame, horizons: list[tuple[int, int]]) -> DataFrame:
 @query()
 def har_forecast(spark, d):
     v = t.rv(spark, d)
-    return models.har(v, _wide_cells(v, [(1, 5), (5, 5)]))
+    return models.har(v, _wide_cells(v, [(1, 1), (5, 5)]), targets={5: "sum"})
+
+
+@query()
+def dvol_forecast(spark, d):
+    v = t.rv(spark, d)
+    return models.dvol(v, t.index(v), _wide_cells(v, [(1, 1), (5, 5)]), targets={5: "sum"})
 
 
 @query()
 def garch_forecast(spark, d):
-    x = t.returns(spark, d)
-    return models.garch(x, _wide_cells(x.withColumnRenamed("ret", "y"), [(1, 60)]))
+    x, v = t.returns(spark, d), t.rv(spark, d)
+    return models.garch(x, _wide_cells(v, [(1, 1), (5, 5)]), rv=v, targets={5: "sum"})
 
 
 @query()
 def gjr_forecast(spark, d):
-    x = t.returns(spark, d)
-    return models.garch(x, _wide_cells(x.withColumnRenamed("ret", "y"), [(1, 60)]), asymmetric=True)
+    x, v = t.returns(spark, d), t.rv(spark, d)
+    return models.garch(x, _wide_cells(v, [(1, 1)]), asymmetric=True, rv=v)
 
 
 @query()
 def ets_forecast(spark, d):
     p = t.log_volume(spark, d)
-    return models.ets(p, _wide_cells(p, [(1, 20)]))
+    return models.ets(p, _wide_cells(p, [(1, 5)]))
 
 
 @query()
 def theta_forecast(spark, d):
     p = t.price(spark, d)
-    return models.theta(p, _wide_cells(p, [(5, 20)]))
+    return models.theta(p, _wide_cells(p, [(5, 5)]))
 
 
 @query()
 def trend_forecast(spark, d):
     p = t.price(spark, d)
-    return models.trend_reference(p, _wide_cells(p, [(5, 20)]))
+    return models.trend_reference(p, _wide_cells(p, [(5, 5)]))
 
 
 @query()
 def external_stub(spark, d):
     p = t.price(spark, d)
-    return models.external(p, _wide_cells(p, [(1, 20)]), models.stub_backend)
+    return models.external(p, _wide_cells(p, [(1, 5)]), models.stub_backend)
 
 
 @query()
 def gbt_forecast(spark, d):
     p = t.log_volume(spark, d)
-    return models.boosted_trees(p, _wide_cells(p, [(1, 5)]), 1, t.START)
+    return models.boosted_refits(p, _wide_cells(p, [(1, 5)]), 1, every=250)
+
+
+@query("""SELECT unique_id, CASE WHEN count(*) >= 3 AND min(y) > 0 THEN round(var_samp(d), 6) ELSE 0 END AS sigma2
+    FROM (SELECT *, ln(y) - lag(ln(y)) OVER (PARTITION BY unique_id ORDER BY ds) AS d FROM price) GROUP BY 1""")
+def log_change_variance(spark, d):
+    return panel.log_change_variance(t.price(spark, d)).withColumn("sigma2", F.round("sigma2", 6))
+
 
+@query("""SELECT unique_id, k, round(list_sort(list(y))[k], 6) AS value FROM price JOIN (SELECT unnest([1, 5, 100000]) AS k) ON true GROUP BY 1, 2""")
+def order_statistics(spark, d):
+    lists = t.price(spark, d).groupBy("unique_id").agg(F.collect_list("y").alias("ys"))
+    asked = lists.withColumn("k", F.explode(F.array(F.lit(1), F.lit(5), F.lit(100000))))
+    return asked.select("unique_id", "k", F.round(kth("ys", F.col("k")), 6).alias("value"))
 
 
+@query("""SELECT 'RV_' || unique_id AS unique_id, CASE WHEN unique_id = 'N225_GK' THEN 'N225' ELSE unique_id || '-USD' END AS return_id, count(*) AS n
+    FROM (SELECT CASE WHEN unique_id = 'AF' THEN 'N225_GK' ELSE unique_id END AS unique_id FROM rv) GROUP BY 1, 2""")
+def rv_return_ids(spark, d):
+    named = t.rv(spark, d).select(F.concat(F.lit("RV_"), F.when(F.col("unique_id") == "AF", "N225_GK").otherwise(F.col("unique_id"))).alias("unique_id"))
+    return named.groupBy("unique_id", return_id("unique_id").alias("return_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT unique_id, h, ds_target, 'missing' AS kind FROM vcells WHERE unique_id = 'NO' UNION SELECT unique_id, 2, ds_target, 'extra' FROM vcells WHERE unique_id = 'AF'""")
+def label_mismatch(spark, d):
+    cells = windows.origin_schedule(t.log_volume(spark, d), t.START, t.END, [(1, 5)])
+    made = cells.where("unique_id <> 'NO'").unionByName(cells.where("unique_id = 'AF'").withColumn("h", F.lit(2)))
+    return evaluate.label_mismatch(cells, made)
+
+
+@query("""SELECT model, unique_id, round(avg(abs(loss)) / nullif(avg(abs(bench_loss)), 0), 5) AS rel_mae, count(*) AS n FROM vpairs GROUP BY 1, 2""")
+def relative_mae(spark, d):
+    pairs = evaluate.paired_losses(t.volume_rows(spark, d), "SeasonalNaive7")
+    return evaluate.relative_mae(pairs, ["model", "unique_id"]).withColumn("rel_mae", F.round("rel_mae", 5))
+
+
+@query("""SELECT task, h, model, reason, count(*) AS n FROM rrows WHERE evaluation_fail GROUP BY 1, 2, 3, 4""")
+def fail_reasons(spark, d):
+    return evaluate.reason_counts(t.rv_rows(spark, d)).select("task", "h", "model", F.explode("reasons").alias("reason", "n"))
+
+
+@query(f"""SELECT unique_id, origin, {", ".join(f"round(q[{i + 1}], 6) AS {c}" for i, c in enumerate(Q_COLUMNS))} FROM rw_vol""")
+def levels_deciles(spark, d):
+    p = t.log_volume(spark, d)
+    f = models.random_walk(p, windows.origin_schedule(p, t.START, t.END, [(1, 5)]), [1])
+    ends = {f"m-{side}-{x}": F.col(c) for side, levels in (("lo", ((80, "q10"), (60, "q20"), (40, "q30"), (20, "q40"))), ("hi", ((20, "q60"), (40, "q70"), (60, "q80"), (80, "q90")))) for x, c in levels}
+    wide = f.select("unique_id", "origin", F.col("q50").alias("m"), *[x.alias(n) for n, x in ends.items()])
+    return wide.select("unique_id", "origin", *[F.round(q, 6).alias(c) for q, c in zip(spread_deciles(levels_to_deciles("m")), Q_COLUMNS)])
+
 
 @query(f"""SELECT task, model, unique_id, origin, h, fail, fail_reason, {", ".join(f"CASE WHEN NOT fail THEN round(q[{i + 1}], 6) END AS {c}" for i, c in enumerate(Q_COLUMNS))} FROM (
     SELECT task, model, unique_id, origin, h, q, fail OR yhat IS NULL AS fail, CASE WHEN fail THEN fail_reason WHEN yhat IS NULL THEN 'missing_forecast' END AS fail_reason
@@ -779,11 +853,25 @@ def panel_fingerprint(spark, d):
 
 
 @query("SELECT unique_id, ts, close, n FROM candles")
-def stream_tumbling_rv(spark, d):
+def stream_tumbling_candles(spark, d):
     rows = streams.tumbling_candles(streams.event_stream(spark, d))
     return streams.run_to_end(rows, streams.folder(spark, "candles"), ["unique_id", "ts"])
 
 
+@query(RV_DAYS)
+def stream_tumbling_rv(spark, d):
+    return panel.realized_variance(stream_tumbling_candles(spark, d), 24).withColumn("rv", F.round("rv", 6))
+
+
+@query(f"""SELECT unique_id, n, {", ".join(f"round(q[{i + 1}], 6) AS {c}" for i, c in enumerate(Q_COLUMNS))} FROM (
+    SELECT unique_id, count(*) AS n, quantile_cont(r, {QL}) FILTER (k <= {streams.HELD}) AS q FROM (
+        SELECT event_type AS unique_id, r, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM (
+            SELECT *, value / lag(value) OVER e AS r, value > 0 AND lag(value) OVER e > 0 AS ok FROM events WHERE value IS NOT NULL WINDOW e AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE ok) GROUP BY 1)""")
+def stream_ratio_state(spark, d):
+    rows = streams.ratio_state(streams.event_stream(spark, d))
+    return streams.run_to_end(rows, streams.folder(spark, "ratios"), ["unique_id"]).select("unique_id", "n", *rq())
+
+
 @query("""SELECT unique_id, n, round(power(0.94, n) * (seed + 0.06 * s), 6) AS sigma2 FROM (
     SELECT event_type AS unique_id, count(*) AS n, avg(value * value) FILTER (k <= 20) AS seed, sum(value * value * power(0.94, -k)) AS s
     FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL) GROUP BY 1)""")

@@ -54,6 +54,8 @@ class ForecastStore:
         what they had of other origins and the chunk."""
         facts = facts.withColumn("origin_month", F.date_format("origin", "yyyy-MM"))
         if self.exists():
+            # Fits run once, however often the chunk is read below.
+            facts = facts.checkpoint()
             old = self.read().withColumn("origin_month", F.col("origin_month").cast("string"))
             months, mine = facts.select(*PARTITION).distinct(), facts.select(*PARTITION[:3], "origin").distinct()
             kept = old.join(months, PARTITION, "left_semi").join(mine, [*PARTITION[:3], "origin"], "left_anti")

@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,31 @@ def ewma_state(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Ratios that a key's sliding state holds.
+HELD = 250
+
+
+def ratio_state(rows: DataFrame, held: int = HELD) -> DataFrame:
+    """Per event type the deciles of the last ``held`` ratios of consecutive
+    positive values; older ratios leave the state as new ones come."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, n, kept = state.get if state.exists else (None, 0, [])
+        kept, rows = list(kept), pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for x in rows["value"].dropna().tolist():
+            if last is not None and last > 0 and x > 0:
+                kept.append(x / last)
+                n += 1
+            last = x
+        kept = kept[-held:]
+        state.update((last, n, kept))
+        deciles = [float(q) for q in np.quantile(kept, [k / 10 for k in range(1, 10)])] if kept else [None] * 9
+        yield pd.DataFrame([[key[0], n, *deciles]], columns=["unique_id", "n", *(f"q{10 * k}" for k in range(1, 10))])
+
+    schema = "unique_id string, n long, " + ", ".join(f"q{10 * k} double" for k in range(1, 10))
+    return rows.groupBy("event_type").applyInPandasWithState(update, schema, "last double, n long, kept array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(rows: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Run a stream over what is there and return the last row of each key.
 
@@ -84,11 +110,14 @@ def run_to_end(rows: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder."""
+    """A new folder below the session's checkpoint folder, which all executors
+    must share; only a session in one process may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
