@@ -112,34 +112,43 @@ def build(v: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
         edge[a, b] = edge[b, a] = seen[a] = True
 
 
-def search(sim: np.ndarray, edge: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
-    """Which nodes each query's search meets.
+def search(q: np.ndarray, v: np.ndarray, edge: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """Similarities of queries to the nodes that their search opens; -9 for all
+    others, which are never compared.
 
-    ``sim``: queries by nodes; ``start``: nodes each query starts from.  STEPS
-    best-first steps, then all that is in range is expanded until nothing new
-    is.
+    ``start``: nodes each query starts from.  STEPS best-first steps, then all
+    that is in range is expanded until nothing new is.
     """
-    nq, n = sim.shape
-    seen, done = start.copy(), np.zeros((nq, n), bool)
-    open_ = np.where(seen, sim, -9.0)
+    nq, n = start.shape
+    sim, seen, done = np.full((nq, n), -9.0), np.zeros((nq, n), bool), np.zeros((nq, n), bool)
+
+    def opened(rows: np.ndarray, cols: np.ndarray) -> None:
+        seen[rows, cols] = True
+        step = max(1, CELLS // v.shape[1])
+        for at in range(0, len(rows), step):
+            r, c = rows[at : at + step], cols[at : at + step]
+            sim[r, c] = np.einsum("ij,ij->i", q[r], v[c])
+
+    opened(*np.nonzero(start))
     rows = np.arange(nq)
     for _ in range(min(STEPS, n)):
+        open_ = np.where(done, -9.0, sim)
         best = open_.argmax(1)
         go = rows[open_[rows, best] > -9]
         if not len(go):
             break
         done[go, best[go]] = True
-        new = edge[best[go]] & ~seen[go]
-        seen[go] |= new
-        open_[go] = np.where(seen[go] & ~done[go], sim[go], -9.0)
+        row, col = np.nonzero(edge[best[go]] & ~seen[go])
+        opened(go[row], col)
     wide = edge.astype(np.float32)
     while True:
-        front = seen & ~done & (sim >= least)
+        front = ~done & (sim >= least)
         go = np.flatnonzero(front.any(1))
         if not len(go):
-            return seen
+            return sim
         done[go] |= front[go]
-        seen[go] |= front[go].astype(np.float32) @ wide > 0
+        row, col = np.nonzero((front[go].astype(np.float32) @ wide > 0) & ~seen[go])
+        opened(go[row], col)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -178,15 +187,17 @@ def choose_centroids(reps: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         mine = sample.filter(pa.compute.and_(pa.compute.equal(sample["label"], label), pa.compute.equal(sample["dim"], dim)))
         if not mine.num_rows:
             continue
-        v, chosen = unit(mine["embedding"]), []
+        v, most = unit(mine["embedding"]), min(k, left)
+        chosen, many = np.empty((min(most, len(v)), v.shape[1])), 0
         for x in v:
-            if len(chosen) >= min(k, left):
+            if many >= most:
                 break
-            if not chosen or (np.array(chosen) @ x).max() < APART:
-                chosen.append(x)
-        left -= len(chosen)
-        if chosen:
-            table[label, dim] = np.array(chosen)
+            if not many or (chosen[:many] @ x).max() < APART:
+                chosen[many] = x
+                many += 1
+        left -= many
+        if many:
+            table[label, dim] = chosen[:many].copy()
     return table
 
 
@@ -230,7 +241,6 @@ def _found(least: float):
         if not q.num_rows or not node.num_rows:
             return pa.table(empty)
         shard = table["shard"][0].as_py()
-        sim = unit(q["embedding"]) @ unit(node["embedding"]).T
         qr, nr = np.asarray(q["rid"]), np.asarray(node["rid"])
         order = np.argsort(nr)
         near = node["near"].combine_chunks()
@@ -242,7 +252,7 @@ def _found(least: float):
         edge[from_[here], order[at[here]]] = True
         own = qr[:, None] == nr[None, :]
         start = own | np.asarray(node["medoid"])[None, :]
-        hit = search(sim, edge, start, least) & (sim >= least) & ~own
+        hit = (search(unit(q["embedding"]), unit(node["embedding"]), edge, start, least) >= least) & ~own
         others = [np.array([s[k] if k < len(s) else -1 for s in x["shards"].to_pylist()]) for x in (q, node) for k in range(max(map(len, table["shards"].to_pylist())))]
         half = len(others) // 2
         counted = hit.copy()
