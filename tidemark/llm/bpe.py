@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import HELD, tidy
 
 #: How byte-level pre-tokenizers cut a text; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -201,14 +201,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
+        HELD["bpe"] = bpe.known.clear
         for batch in batches:
             for part in pieces(batch, PART):
                 ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-        bpe.known.clear()  # the worker lives on
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "id long, ids binary")
+    return rows.mapInArrow(tidy(run, "bpe"), "id long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,4 +226,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode_documents(docs, path, id_col, text_col).mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_documents(docs, path, id_col, text_col).mapInArrow(tidy(run, "bpe"), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

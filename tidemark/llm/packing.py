@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Scratch, slices, tidy
+from .common import HELD, Scratch, slices, tidy
 
 #: Pieces of a group on average, words kept between batches, the longest word
 #: kept, and bytes of text split at a time.
-GROUP, CACHE, LONG, PART = 8192, 600_000, 64, 4 << 20
+GROUP, CACHE, LONG, PART = 8192, 1_000_000, 64, 8 << 20
 #: How the tokenizer cuts words; a fixed value.  The same cut for words that are
 #: PLAIN: ASCII and Latin letters, whose normal form is themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -93,8 +93,10 @@ class WordTokenizer:
             every.update(words)
         new = every.difference(known)
         if len(known) + len(new) > CACHE:
+            # What this batch uses stays: the words that are common.
+            kept = {w: known[w] for w in every if w in known}
             known.clear()
-            new = every
+            known.update(kept)
         ids = self.learn(list(new))
         known.update((w, i) for w, i in ids.items() if len(w) <= LONG)
         look = {w: i for w, i in ids.items() if len(w) > LONG}
@@ -115,6 +117,7 @@ def cut_documents(docs: DataFrame, path: str, length: int, separator: int, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path)
+        HELD["packing"] = tokenizer.known.clear
         for whole in batches:
             for batch in slices(whole, PART):
                 rows: list[tuple] = []
@@ -132,13 +135,12 @@ def cut_documents(docs: DataFrame, path: str, length: int, separator: int, with_
                 if with_ids:
                     columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
                 yield pa.record_batch(columns, names)
-        tokenizer.known.clear()  # the worker lives on
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).cast("string").alias("text")
     )
     schema = "id long, tag long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return rows.mapInArrow(tidy(run), schema)
+    return rows.mapInArrow(tidy(run, "packing"), schema)
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
