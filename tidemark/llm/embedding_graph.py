@@ -21,6 +21,8 @@ gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,9 @@ DEGREE, NEAREST, RANDOM, ALPHA, STEPS = 24, 48, 24, 1.2, 24
 #: Queries of the audit at least (or the root of the number of vectors), the
 #: recall to reach, and the queries of a family size whose own recall counts.
 AUDIT, RECALL, ENOUGH = 2000, 0.9, 20
-#: Cells of similarities at a time.
-CELLS = 1 << 21
+#: Cells of similarities at a time; numbers of opened vectors at a time, and
+#: queries, so that both stay in a core's cache.
+CELLS, OPENED, QUERIES = 1 << 21, 1 << 16, 256
 #: With more centroids than this a pair too often shares none of two shards.
 FEW = 50
 
@@ -119,34 +122,52 @@ def search(q: np.ndarray, v: np.ndarray, edge: np.ndarray, start: np.ndarray, le
     ``start``: nodes each query starts from.  STEPS best-first steps, then all
     that is in range is expanded until nothing new is.
     """
+    ends = np.cumsum(edge.sum(1))
+    lists = np.nonzero(edge)[1], np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0)
+    wide = edge.astype(np.float32)
+    parts = [_search(q[at : at + QUERIES], v, lists, wide, start[at : at + QUERIES], least) for at in range(0, len(q), QUERIES)]
+    return np.concatenate(parts) if parts else np.empty(start.shape)
+
+
+def _search(q: np.ndarray, v: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], wide: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """``search`` of a few queries.  ``lists``: neighbours of all nodes in a row,
+    where each node's begin and their number."""
     nq, n = start.shape
-    sim, seen, done = np.full((nq, n), -9.0), np.zeros((nq, n), bool), np.zeros((nq, n), bool)
+    near, begin, many = lists
+    # open_: as sim, without the nodes that were expanded.
+    sim, open_, seen = np.full((nq, n), -9.0), np.full((nq, n), -9.0), np.zeros((nq, n), bool)
+    step = max(1, OPENED // v.shape[1])
+    x, y = np.empty((2, step, v.shape[1]))
 
     def opened(rows: np.ndarray, cols: np.ndarray) -> None:
         seen[rows, cols] = True
-        step = max(1, CELLS // v.shape[1])
         for at in range(0, len(rows), step):
             r, c = rows[at : at + step], cols[at : at + step]
-            sim[r, c] = np.einsum("ij,ij->i", q[r], v[c])
+            k = len(r)
+            np.take(q, r, axis=0, out=x[:k], mode="clip")
+            np.take(v, c, axis=0, out=y[:k], mode="clip")
+            sim[r, c] = open_[r, c] = np.einsum("ij,ij->i", x[:k], y[:k])
 
     opened(*np.nonzero(start))
     rows = np.arange(nq)
     for _ in range(min(STEPS, n)):
-        open_ = np.where(done, -9.0, sim)
         best = open_.argmax(1)
         go = rows[open_[rows, best] > -9]
         if not len(go):
             break
-        done[go, best[go]] = True
-        row, col = np.nonzero(edge[best[go]] & ~seen[go])
-        opened(go[row], col)
-    wide = edge.astype(np.float32)
+        best = best[go]
+        open_[go, best] = -9.0
+        size = many[best]
+        row = np.repeat(go, size)
+        col = near[np.arange(len(row)) + np.repeat(begin[best] - np.cumsum(size) + size, size)]
+        new = ~seen[row, col]
+        opened(row[new], col[new])
     while True:
-        front = ~done & (sim >= least)
+        front = open_ >= least
         go = np.flatnonzero(front.any(1))
         if not len(go):
             return sim
-        done[go] |= front[go]
+        open_[front] = -9.0
         row, col = np.nonzero((front[go].astype(np.float32) @ wide > 0) & ~seen[go])
         opened(go[row], col)
 
@@ -212,7 +233,8 @@ def place(reps: DataFrame, table: dict[tuple[int, int], np.ndarray], overlap: in
                 at = [i for i, x in enumerate(zip(labels, dims)) if x == key]
                 if key in table:
                     c = table[key]
-                    near = np.argsort(-(unit(batch.column("embedding").take(pa.array(at))) @ c.T), axis=1, kind="stable")[:, :overlap]
+                    away = -(unit(batch.column("embedding").take(pa.array(at))) @ c.T)
+                    near = np.argpartition(away, min(overlap, len(c)) - 1, axis=1)[:, :overlap]
                     for i, x in zip(at, np.sort(near, axis=1).tolist()):
                         lists[i] = x
             yield pa.record_batch([batch.column("rid"), pa.array(lists, pa.list_(pa.int32()))], ["rid", "shards"])
@@ -233,6 +255,13 @@ def _graph(table: pa.Table) -> pa.Table:
     return pa.table({"rid": rid, "near": pa.array(lists, pa.list_(pa.int64())), "medoid": np.arange(len(rid)) == medoid})
 
 
+def padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of numbers as rows, filled up with -1."""
+    rows = lists.to_pylist()
+    most = max(map(len, rows))
+    return np.array([x + [-1] * (most - len(x)) for x in rows])
+
+
 def _found(least: float):
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
@@ -253,14 +282,13 @@ def _found(least: float):
         own = qr[:, None] == nr[None, :]
         start = own | np.asarray(node["medoid"])[None, :]
         hit = (search(unit(q["embedding"]), unit(node["embedding"]), edge, start, least) >= least) & ~own
-        others = [np.array([s[k] if k < len(s) else -1 for s in x["shards"].to_pylist()]) for x in (q, node) for k in range(max(map(len, table["shards"].to_pylist())))]
-        half = len(others) // 2
-        counted = hit.copy()
-        for x in others[:half]:
-            for y in others[half:]:
-                counted &= ~((x[:, None] == y[None, :]) & (x >= 0)[:, None] & (x < shard)[:, None])
-        links = (counted * np.asarray(node["copies"])[None, :]).sum(1)
         i, j = np.nonzero(hit)
+        ours, theirs = (padded(x["shards"]) for x in (q, node))
+        counted = np.ones(len(i), bool)
+        for x in ours.T:
+            for y in theirs.T:
+                counted &= (x[i] != y[j]) | (x[i] < 0) | (x[i] >= shard)
+        links = np.bincount(i[counted], np.asarray(node["copies"])[j[counted]], len(qr)).astype(np.int64)
         pairs = forest(np.stack([qr[i], nr[j]], 1))
         none = [None] * len(pairs)
         return pa.table(
@@ -345,6 +373,25 @@ def enough(recalls: list[tuple[int, float, int]]) -> bool:
     return mean and all(r >= RECALL for _, r, n in recalls if n >= ENOUGH)
 
 
+def _keyed(batches):
+    """Rows with a digest of label and vector, null for those that link with
+    nothing, whose vectors aren't needed any more."""
+    for batch in batches:
+        vectors, labels = batch.column("embedding"), batch.column("label").to_pylist()
+        values = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(float("nan")))
+        size = np.asarray(pa.compute.list_value_length(vectors).fill_null(0), np.int64)
+        ends = np.cumsum(size)
+        bad, some = (np.concatenate(([0], np.cumsum(x))) for x in (~np.isfinite(values), values != 0))
+        good = (bad[ends] == bad[ends - size]) & (some[ends] > some[ends - size])
+        keys = [
+            hashlib.sha256(b"%d:" % label + values[b - n : b].tobytes()).digest() if ok and label is not None else None
+            for label, b, n, ok in zip(labels, ends.tolist(), size.tolist(), good.tolist())
+        ]
+        keys = pa.array(keys, pa.binary())
+        vectors = pa.compute.if_else(keys.is_valid(), vectors, pa.scalar(None, vectors.type))
+        yield pa.record_batch([batch.column("id"), keys, batch.column("label"), vectors], ["id", "key", "label", "embedding"])
+
+
 def embedding_near_duplicates(rows: DataFrame, scratch: Scratch, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``id, n_links, component_id`` of every row.
 
@@ -353,19 +400,12 @@ def embedding_near_duplicates(rows: DataFrame, scratch: Scratch, least: float =
     those of a family size, the search runs again with twice the overlap, up to
     eightfold, and then raises.
     """
-    vector = F.col("embedding")
     rows = rows.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("long").alias("label"),
         F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("embedding"),
     )
-    good = (
-        F.col("label").isNotNull()
-        & F.coalesce(F.size(vector) > 0, F.lit(False))
-        & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-        & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
-    )
-    rows = rows.withColumn("key", F.when(good, F.unhex(F.sha2(F.concat_ws(":", "label", vector.cast("string")), 256))))
+    rows = rows.mapInArrow(tidy(_keyed), "id long, key binary, label long, embedding array<double>")
     keyed = scratch.keep(rows.select("id", "key"), "keyed")
     reps = scratch.keep(
         rows.where(F.col("key").isNotNull())
