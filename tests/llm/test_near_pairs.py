@@ -57,3 +57,13 @@ def test_parities_never_differ_more_than_the_sets(spark):
     got = [(r.apart, r.d) for r in df.collect()]
     assert all(d is None or (d <= apart and (apart - d) % 2 == 0) for apart, d in got)
     assert [d is None for _, d in got] == [False] * 7 + [True, False] and got[2][1] > 75 and got[3][1] > 85
+
+
+def test_open_rows_need_no_rows_beside_their_pairs(spark):
+    rng = np.random.default_rng(35)
+    f = rng.integers(0, 2**63, (simhash.WIDE, 1)) ^ (1 << rng.integers(0, 62, (simhash.WIDE, 60)))
+    rows = [(5, i, None, False, *(int(w) for w in f[:, i])) for i in range(60)]
+    got = simhash.at_anchors(spark.createDataFrame(rows, simhash._SENT).coalesce(1)).collect()
+    i, j, _, out = simhash.met(np.arange(60), np.zeros(60, np.int64), f.astype(np.uint64))
+    assert {(r.a, r.b) for r in got} == {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} and len(got) == len({(r.a, r.b) for r in got})
+    assert {x for r in got for x, o in ((r.a, r.one), (r.b, r.two)) if o} == set(out.tolist())
