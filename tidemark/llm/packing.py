@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,15 +28,24 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import HELD, Scratch, slices, tidy
 
-#: Pieces of a group on average, words kept between batches, the longest word
-#: kept, and bytes of text split at a time.
+#: Pieces of a group on average, parts of words kept between batches, the longest
+#: part kept, and bytes of text split at a time.
 GROUP, CACHE, LONG, PART = 8192, 1_000_000, 64, 8 << 20
-#: How the tokenizer cuts words; a fixed value.  The same cut for words that are
-#: PLAIN: ASCII and Latin letters, whose normal form is themselves.
+#: How the tokenizer cuts words; a fixed value.  ``WordTokenizer.cut`` is the same
+#: for plain words: ASCII and Latin-1 letters, whose normal form is themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(f"[!-~{LETTERS}]+").fullmatch
-CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+#: Kinds of bytes: ASCII white space, of letters, digits, marks, and what a plain
+#: word doesn't have.  Latin-1 letters are C3 and another byte; C3 97 and C3 B7
+#: are no letters.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = bytearray([ODD] * 256)
+KIND[0x21:0x7F] = bytes([MARK] * 0x5E)
+KIND[0x80:0xC0] = bytes([LETTER] * 0x40)
+for _bytes, _kind in ((b" \t\n\v\f\r", SPACE), (b"\x97\xb7", ODD), (b"0123456789", DIGIT), (b"\xc3" + bytes([*range(65, 91), *range(97, 123)]), LETTER)):
+    for _byte in _bytes:
+        KIND[_byte] = _kind
+#: Lower case of the bytes of plain words.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
 
 
 class WordTokenizer:
@@ -60,49 +68,86 @@ class WordTokenizer:
         pattern = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         # The numpy rounds know this one way of cutting words.
         self.merger = bpe.ByteBpe(path) if PATTERN in pattern else None
+        self.kind = bytes(KIND) if self.merger else bytes(SPACE if k == SPACE else ODD for k in KIND)
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words.  Words of Latin letters and ASCII marks only need to be
-        lower-cased and cut, and are merged together by the numpy rounds, with
-        the library's ids; the library itself encodes all others."""
-        out: dict[bytes, bytes] = {}
-        plain, cut, rest = [], [], []
-        for w in words:
-            text = w.decode()
-            if self.merger and PLAIN(text) and "<|" not in text:
-                plain.append(w)
-                cut.append(CUT(text.lower()))
-            else:
-                rest.append(w)
-        parts = list({p for ps in cut for p in ps})
-        ids: dict[str, bytes] = {}
-        for at in range(0, len(parts), bpe.WORDS):
-            some = parts[at : at + bpe.WORDS]
-            ids.update(zip(some, self.merger.merge([p.encode() for p in some])))
-        out.update((w, b"".join([ids[p] for p in ps])) for w, ps in zip(plain, cut))
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
+    def cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The parts of a text that ends in white space: where they begin in it,
+        their bytes one after the other, where they begin there, and which are
+        words of other bytes than plain ones or with the mark of a special token.
+        These are whole; plain words are lower-cased and cut."""
+        text, low = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(LOWER), np.uint8)
+        kind = np.frombuffer(raw.translate(self.kind), np.uint8)
+        word = kind != SPACE
+        begin = np.append(True, kind[1:] != kind[:-1])[: len(kind)]
+        begin |= kind == DIGIT
+        begin &= word
+        # A mark that begins a part may begin one of the short endings.
+        at = np.flatnonzero(text == ord("'"))
+        at = at[begin[at]]
+        one, two = low[at + 1], low[np.minimum(at + 2, len(low) - 1)]
+        short = np.isin(one, list(b"stmd"))
+        long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        begin[at[short | long] + 1] = False
+        for after in (at[short] + 2, at[long] + 3):
+            begin[after] |= kind[after] == LETTER
+        odd = np.flatnonzero(kind == ODD)
+        if b"<|" in raw:
+            odd = np.union1d(odd, np.flatnonzero((text[:-1] == ord("<")) & (text[1:] == ord("|"))))
+        whole = np.zeros(0, np.int64)
+        if len(odd):
+            gaps = np.append(-1, np.flatnonzero(~word))
+            right = np.searchsorted(gaps, odd)
+            right = right[np.append(True, right[1:] != right[:-1])]
+            whole = gaps[right - 1] + 1
+            inside = np.zeros(len(text), np.int8)
+            inside[whole], inside[gaps[right]] = 1, -1
+            inside = np.cumsum(inside, dtype=np.int8).view(bool)
+            begin[inside] = False
+            begin[whole] = True
+            low = np.where(inside, text, low)
+        place = np.flatnonzero(begin)
+        other = np.zeros(len(place), bool)
+        other[np.searchsorted(place, whole)] = True
+        return place, low[word], np.flatnonzero(begin[word]), other
+
+    def learn(self, parts: list[bytes], other: list[bool]) -> list[bytes]:
+        """Ids of parts.  Those of plain words are merged together by the numpy
+        rounds, with the library's ids; the library itself encodes all others."""
+        plain, rest = [p for p, o in zip(parts, other) if not o], [p for p, o in zip(parts, other) if o]
+        ids: list[bytes] = []
+        for at in range(0, len(plain), bpe.WORDS):
+            ids += self.merger.merge(plain[at : at + bpe.WORDS])
+        made = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
+        ids, made = iter(ids), iter(made)
+        return [next(made) if o else next(ids) for o in other]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        known, split = self.known, [t.encode().split() for t in texts]
-        every: set[bytes] = set()
-        for words in split:
-            every.update(words)
-        new = every.difference(known)
+        known, raw = self.known, [t.encode() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in raw])
+        place, data, first, other = self.cut(b" ".join([*raw, b""]))
+        buffers = [None, pa.py_buffer(np.append(first, len(data))), pa.py_buffer(data)]
+        found = pa.Array.from_buffers(pa.large_binary(), len(first), buffers).dictionary_encode()
+        every, which = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        ids = list(map(known.get, every))
+        new = [i for i, x in enumerate(ids) if x is None]
         if len(known) + len(new) > CACHE:
-            # What this batch uses stays: the words that are common.
-            kept = {w: known[w] for w in every if w in known}
+            # What this batch uses stays: the parts that are common.
             known.clear()
-            known.update(kept)
-        ids = self.learn(list(new))
-        known.update((w, i) for w, i in ids.items() if len(w) <= LONG)
-        look = {w: i for w, i in ids.items() if len(w) > LONG}
-        if not look:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known[w] if w in known else look[w] for w in words]) for words in split]
+            known.update((p, x) for p, x in zip(every, ids) if x is not None)
+        alone = np.zeros(len(every), bool)
+        alone[which[other]] = True
+        for i, x in zip(new, self.learn([every[i] for i in new], alone[new].tolist())):
+            ids[i] = x
+            if len(every[i]) <= LONG:
+                known[every[i]] = x
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        start, size = (np.cumsum(size) - size)[which], size[which]
+        upto = np.append(0, np.cumsum(size))
+        tokens = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        upto = (4 * upto[np.searchsorted(place, ends)]).tolist()
+        return [tokens[a:b] for a, b in zip([0, *upto], upto)]
 
 
 @functools.lru_cache(2)
